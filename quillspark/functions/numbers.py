@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: a lambda's argument, which the optimizer doesn't copy into every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -50,8 +55,3 @@ def longest_run(xs: Column, holds) -> Column:
         return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
     return F.aggregate(pairs, start, step, lambda a: a["best"])
-
-
-def counts(xs: Column) -> Column:
-    """Array of (value, n) per distinct value, values ascending: one sort and one fold, no shuffle."""
-    return F.transform(F.array_distinct(xs), lambda v: F.struct(v.alias("value"), F.size(F.filter(xs, lambda x: x == v)).alias("n")))

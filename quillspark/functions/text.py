@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import numbers
+
 NO_STRINGS = "array<string>"
 
 # The word lists and patterns below must be as they are for results to match.
@@ -201,15 +203,25 @@ def normalized(t: Column) -> Column:
 
 
 def char_grams(norm: Column, n: int = 3) -> Column:
-    """All n-grams of characters, in order."""
-    return F.when(F.length(norm) >= n, F.transform(F.sequence(F.lit(1), F.length(norm) - (n - 1)), lambda i: F.substring(norm, i, n))).otherwise(F.array().cast(NO_STRINGS))
+    """All n-grams of characters, in order.  The text is split into characters once, so the cost is linear in its length."""
+    none = F.array().cast(NO_STRINGS)
+
+    def grams(chars: Column) -> Column:
+        all_ = F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
+        return F.when(F.size(chars) >= n, F.slice(all_, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))).otherwise(none)
+
+    return numbers.let(F.filter(F.split(norm, ""), lambda c: c != ""), grams)
 
 
 def word_grams(tokens: Column, n: int) -> Column:
     """Distinct n-grams of words, space-joined."""
-    last = F.size(tokens) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast(NO_STRINGS))
+    none = F.array().cast(NO_STRINGS)
+
+    def grams(w: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(all_)).otherwise(none)
+
+    return numbers.let(tokens, grams)
 
 
 def line_of(t: Column, start: Column) -> Column:

@@ -186,7 +186,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = Non
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, include_quoted: bool = False) -> DataFrame:
     """Spans in long form: ``id, rule_id, category, severity, min_matches, start, end``; the text itself isn't carried."""
     rules = catalog() if rules is None else rules
-    found = docs.select(id_col, F.inline(spans(F.col(text_col), rules, include_quoted)))
+    found = docs.select(id_col, F.inline_outer(spans(F.col(text_col), rules, include_quoted))).where("rule_id is not null")
     facts = F.broadcast(as_table(docs.sparkSession, rules).select("rule_id", "category", "severity", "min_matches"))  # one row a rule
     return found.join(facts, "rule_id").select(id_col, "rule_id", "category", "severity", "min_matches", "start", "end")
 

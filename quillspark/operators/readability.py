@@ -43,42 +43,44 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     top = F.slice(F.array_sort("_freq", lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(a["at"] - b["at"])), 1, 10)
     empty = (s == 0) | (w == 0)
     one = lambda x: F.format_string("%.1f", x)
-    rows = rows.withColumn("_m", F.struct(ease.alias("ease"), grade.alias("grade"), average.alias("average"), varied.alias("varied"), similar.alias("similar"), tiny.alias("tiny"), repetition.alias("repetition"), spread.alias("spread")))
-    m = F.col("_m")
-    flags = F.array_compact(
-        F.array(
-            F.when(m["grade"] > 12, F.concat(F.lit("High reading level ("), one(m["grade"]), F.lit(" grade)"))),
-            F.when((m["varied"] < 10) & (s > 3), F.lit("Low sentence length variance (monotonous rhythm)")),
-            F.when(m["similar"] >= 3, F.concat(m["similar"], F.lit("+ consecutive similar-length sentences"))),
-            F.when(m["repetition"] > 15, F.concat(F.lit("High word repetition ("), one(m["repetition"]), F.lit("%)"))),
-            F.when(m["average"] > 25, F.concat(F.lit("Long average sentence length ("), one(m["average"]), F.lit(" words)"))),
-            F.when((m["average"] < 8) & (s > 3), F.lit("Very short sentences (may feel choppy)")),
-            F.when(m["tiny"] >= 3, F.concat(F.lit("Staccato cadence: "), m["tiny"], F.lit(" consecutive tiny sentences (anti-slop AI tell)"))).when(
-                (m["average"] < 6) & (s >= 2), F.concat(F.lit("Staccato cadence (avg "), one(m["average"]), F.lit(" words/sentence — anti-slop AI tell)"))
-            ),
-            F.when((m["spread"] < 5) & (s > 5), F.lit("Sentences all similar length (AI tell)")),
+    measured = F.struct(ease.alias("ease"), grade.alias("grade"), average.alias("average"), varied.alias("varied"), similar.alias("similar"), tiny.alias("tiny"), repetition.alias("repetition"), spread.alias("spread"))
+
+    def report(m: Column) -> Column:
+        flags = F.array_compact(
+            F.array(
+                F.when(m["grade"] > 12, F.concat(F.lit("High reading level ("), one(m["grade"]), F.lit(" grade)"))),
+                F.when((m["varied"] < 10) & (s > 3), F.lit("Low sentence length variance (monotonous rhythm)")),
+                F.when(m["similar"] >= 3, F.concat(m["similar"], F.lit("+ consecutive similar-length sentences"))),
+                F.when(m["repetition"] > 15, F.concat(F.lit("High word repetition ("), one(m["repetition"]), F.lit("%)"))),
+                F.when(m["average"] > 25, F.concat(F.lit("Long average sentence length ("), one(m["average"]), F.lit(" words)"))),
+                F.when((m["average"] < 8) & (s > 3), F.lit("Very short sentences (may feel choppy)")),
+                F.when(m["tiny"] >= 3, F.concat(F.lit("Staccato cadence: "), m["tiny"], F.lit(" consecutive tiny sentences (anti-slop AI tell)"))).when(
+                    (m["average"] < 6) & (s >= 2), F.concat(F.lit("Staccato cadence (avg "), one(m["average"]), F.lit(" words/sentence — anti-slop AI tell)"))
+                ),
+                F.when((m["spread"] < 5) & (s > 5), F.lit("Sentences all similar length (AI tell)")),
+            )
         )
-    )
-    zero = lambda x, kind="double": F.when(empty, F.lit(0).cast(kind)).otherwise(x.cast(kind))
-    out = F.struct(
-        zero(F.round(m["grade"], 1)).alias("flesch_kincaid_grade"),
-        zero(F.round(m["ease"], 1)).alias("flesch_reading_ease"),
-        zero(s, "int").alias("sentence_count"),
-        zero(w, "int").alias("word_count"),
-        zero(F.round(m["average"], 1)).alias("avg_sentence_length"),
-        zero(F.round(m["varied"], 1)).alias("sentence_length_variance"),
-        zero(F.array_min(n), "int").alias("min_sentence_length"),
-        zero(F.array_max(n), "int").alias("max_sentence_length"),
-        zero(m["similar"], "int").alias("consecutive_similar_length"),
-        zero(m["tiny"], "int").alias("staccato_run"),
-        zero(F.round(m["repetition"], 1)).alias("word_repetition_score"),
-        F.when(empty, F.array().cast("array<struct<word:string,n:int>>")).otherwise(F.transform(top, lambda f: F.struct(f["word"].alias("word"), f["n"].alias("n")))).alias("top_repeated_words"),
-        F.size("_paragraphs").alias("paragraph_count"),
-        zero(F.round(numbers.mean(F.col("_paragraphs")), 1)).alias("avg_paragraph_length"),
-        F.when(empty, F.array(F.lit(EMPTY_FLAG))).otherwise(flags).alias("flags"),
-        F.col("_syllables").alias("syllable_count"),
-    )
-    return rows.select(*docs.columns, F.when(F.col(text_col).isNotNull(), out).alias("readability"))
+        zero = lambda x, kind="double": F.when(empty, F.lit(0).cast(kind)).otherwise(x.cast(kind))
+        return F.struct(
+            zero(F.round(m["grade"], 1)).alias("flesch_kincaid_grade"),
+            zero(F.round(m["ease"], 1)).alias("flesch_reading_ease"),
+            zero(s, "int").alias("sentence_count"),
+            zero(w, "int").alias("word_count"),
+            zero(F.round(m["average"], 1)).alias("avg_sentence_length"),
+            zero(F.round(m["varied"], 1)).alias("sentence_length_variance"),
+            zero(F.array_min(n), "int").alias("min_sentence_length"),
+            zero(F.array_max(n), "int").alias("max_sentence_length"),
+            zero(m["similar"], "int").alias("consecutive_similar_length"),
+            zero(m["tiny"], "int").alias("staccato_run"),
+            zero(F.round(m["repetition"], 1)).alias("word_repetition_score"),
+            F.when(empty, F.array().cast("array<struct<word:string,n:int>>")).otherwise(F.transform(top, lambda f: F.struct(f["word"].alias("word"), f["n"].alias("n")))).alias("top_repeated_words"),
+            F.size("_paragraphs").alias("paragraph_count"),
+            zero(F.round(numbers.mean(F.col("_paragraphs")), 1)).alias("avg_paragraph_length"),
+            F.when(empty, F.array(F.lit(EMPTY_FLAG))).otherwise(flags).alias("flags"),
+            F.col("_syllables").alias("syllable_count"),
+        )
+
+    return rows.select(*docs.columns, F.when(t.isNotNull(), numbers.let(measured, report)).alias("readability"))
 
 
 def _frequencies(content: Column) -> Column:

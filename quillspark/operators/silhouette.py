@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
+from quillspark.functions import numbers, text
 
 # Cue classes in order, reference distribution, thresholds.
 CUES = {
@@ -88,35 +88,41 @@ def scan(docs: DataFrame, text_col: str = "text", genre: str = "prose", separato
     rows = docs.withColumn("_p", text.paragraphs(F.col(text_col), strip_bold=True, separator=separator))
     rows = rows.withColumn("_c", F.transform("_p", text.silhouette_content)).withColumn("_r", F.transform("_p", role))
     rows = rows.withColumn("_h", F.transform(F.regexp_extract_all(text_col, F.lit(HEADING), F.lit(1)), text.silhouette_content))
-    rows = rows.withColumn("_m", metrics(F.col("_p"), F.col("_c"), F.col("_r"), F.col("_h")))
-    m, parts, fired = F.col("_m"), [], []
-    for name, (median, iqr, fence, weight) in reference.items():
-        if name in SUPPRESSED.get(genre, set()):
-            parts.append(F.lit(0.0).alias(name))
-            continue
-        part = F.round(F.greatest(F.lit(0.0), (m[name] - median) / max(iqr, fence)) * weight, 3)
-        parts.append(F.when(m[name].isNotNull(), part).alias(name))
-        fired.append(F.when(m[name] >= fence, F.struct(F.lit(name).alias("metric"), m[name].alias("value"), F.lit(float(fence)).alias("fence"))))
-    rows = rows.withColumn("_k", F.struct(*parts))
-    penalty = F.lit(0.0)
-    for name in reference:
-        penalty = penalty + F.coalesce(F.col("_k")[name], F.lit(0.0))
-    rows = rows.withColumn("_y", F.round(penalty, 3))
-    whole = F.when(F.col("_y") >= PENALTY, F.struct(F.lit("silhouette_penalty").alias("metric"), F.col("_y").alias("value"), F.lit(PENALTY).alias("fence")))
     enough = F.size("_p") >= 3
-    flags = F.when(enough, F.array_compact(F.array(whole, *fired))).otherwise(F.array().cast("array<struct<metric:string,value:double,fence:double>>"))
-    rows = rows.withColumn("_f", flags)
-    out = F.struct(
-        F.size("_p").alias("prose_paragraphs"),
-        F.when(enough, m).alias("metrics"),
-        F.when(enough, F.col("_k")).alias("contributions"),
-        F.when(enough, F.col("_y")).alias("penalty"),
-        F.col("_f").alias("flags"),
-        F.lit(genre).alias("genre"),
-    )
+
+    def weighed(m: Column) -> Column:
+        parts = []
+        for name, (median, iqr, fence, weight) in reference.items():
+            part = F.round(F.greatest(F.lit(0.0), (m[name] - median) / max(iqr, fence)) * weight, 3)
+            parts.append((F.lit(0.0) if name in SUPPRESSED.get(genre, set()) else F.when(m[name].isNotNull(), part)).alias(name))
+        return numbers.let(F.struct(*parts), lambda k: summed(m, k))
+
+    def summed(m: Column, k: Column) -> Column:
+        penalty = F.lit(0.0)
+        for name in reference:
+            penalty = penalty + F.coalesce(k[name], F.lit(0.0))
+        return numbers.let(F.round(penalty, 3), lambda y: report(m, k, y))
+
+    def report(m: Column, k: Column, y: Column) -> Column:
+        fired = [F.when(y >= PENALTY, F.struct(F.lit("silhouette_penalty").alias("metric"), y.alias("value"), F.lit(PENALTY).alias("fence")))]
+        for name, (*_, fence, _weight) in reference.items():
+            if name not in SUPPRESSED.get(genre, set()):
+                fired.append(F.when(m[name] >= fence, F.struct(F.lit(name).alias("metric"), m[name].alias("value"), F.lit(float(fence)).alias("fence"))))
+        none = F.array().cast("array<struct<metric:string,value:double,fence:double>>")
+        return F.struct(
+            F.size("_p").alias("prose_paragraphs"),
+            F.when(enough, m).alias("metrics"),
+            F.when(enough, k).alias("contributions"),
+            F.when(enough, y).alias("penalty"),
+            F.when(enough, F.array_compact(F.array(*fired))).otherwise(none).alias("flags"),
+            F.lit(genre).alias("genre"),
+        )
+
     there = F.col(text_col).isNotNull()
-    declined = (F.size("_f") == 0) & ~text.is_english(text.english_tokens(F.col(text_col)))
-    return rows.select(*docs.columns, F.when(there, out).alias("silhouette"), F.when(there, declined).alias("declined"))
+    whole = numbers.let(metrics(F.col("_p"), F.col("_c"), F.col("_r"), F.col("_h")), weighed)
+    rows = rows.select(*docs.columns, F.when(there, whole).alias("silhouette"))
+    declined = (F.size(F.col("silhouette")["flags"]) == 0) & ~text.is_english(text.english_tokens(F.col(text_col)))
+    return rows.withColumn("declined", F.when(there, declined))
 
 
 def fit_reference(docs: DataFrame, text_col: str = "text", separator: str = text.BLANK_LINE, iqr_floor: float = 0.05) -> DataFrame:

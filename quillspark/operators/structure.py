@@ -118,18 +118,17 @@ def scan(docs: DataFrame, text_col: str = "text", genre: str = "prose", separato
     A text is declined only if nothing was flagged and it isn't English.
     Null texts give null.  Nothing is shuffled.
     """
-    rows = prepared(docs, text_col, separator).withColumn("_m", metrics(text_col))
-    m, p, s = F.col("_m"), F.size("_p"), F.size("_s")
-    flags = F.array_compact(
-        F.array(
-            *[
-                F.when(fires, F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), F.lit(limit).alias("threshold"), F.lit("soft").alias("severity")))
-                for name, value, fires, limit in rules(m, p, s, F.col("_w"), F.col("_o"), genre)
-            ]
-        )
-    )
-    rows = rows.withColumn("_f", flags)
-    out = F.struct(m.alias("metrics"), F.col("_f").alias("flags"), F.lit(genre).alias("genre"), s.alias("prose_sentences"), p.alias("prose_paragraphs"))
-    declined = (F.size("_f") == 0) & ~text.is_english(text.english_tokens(F.col(text_col)))
+    rows = prepared(docs, text_col, separator)
+    p, s = F.size("_p"), F.size("_s")
+
+    def judged(m: Column) -> Column:
+        fired = [
+            F.when(fires, F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), F.lit(limit).alias("threshold"), F.lit("soft").alias("severity")))
+            for name, value, fires, limit in rules(m, p, s, F.col("_w"), F.col("_o"), genre)
+        ]
+        return F.struct(m.alias("metrics"), F.array_compact(F.array(*fired)).alias("flags"), F.lit(genre).alias("genre"), s.alias("prose_sentences"), p.alias("prose_paragraphs"))
+
     there = F.col(text_col).isNotNull()
-    return rows.select(*docs.columns, F.when(there, out).alias("structure"), F.when(there, declined).alias("declined"))
+    rows = rows.select(*docs.columns, F.when(there, numbers.let(metrics(text_col), judged)).alias("structure"))
+    declined = (F.size(F.col("structure")["flags"]) == 0) & ~text.is_english(text.english_tokens(F.col(text_col)))
+    return rows.withColumn("declined", F.when(there, declined))

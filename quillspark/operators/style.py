@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 import random
-from math import comb
 
 import pandas as pd
 import pyarrow as pa
@@ -342,7 +341,8 @@ def gi_seeded(own: DataFrame, impostors: DataFrame, seed: int = 1, trials: int =
         return pd.DataFrame(out, columns=["profile", "candidate", "gi"])
 
     kinds = dict(own.dtypes)
-    return own.groupBy("profile").cogroup(impostors.groupBy("profile")).applyInPandas(run, f"profile {kinds['profile']}, candidate {kinds['candidate']}, gi double")
+    others = impostors.toDF(*impostors.columns)  # columns of its own, as both may be one relation
+    return own.groupBy("profile").cogroup(others.groupBy("profile")).applyInPandas(run, f"profile {kinds['profile']}, candidate {kinds['candidate']}, gi double")
 
 
 def composite(z: DataFrame, gi: DataFrame) -> DataFrame:
@@ -374,23 +374,23 @@ def ngram_overlap(candidates: DataFrame, samples: DataFrame, candidate_id: str,
 def long_copies(candidates: DataFrame, samples: DataFrame, candidate_id: str, sample_id: str, length: int = LONG_COPY, text_col: str = "text") -> DataFrame:
     """Distinct ``candidate, sample`` that share a run of ``length`` characters.
 
-    Samples are cut into windows at every ``length // 2``-th place of half that
-    length, so any shared run holds one of them whole; candidates are cut at
-    every place, joined by hash and equality, and each hit is verified on both
-    texts around it.
+    Candidates, the larger side, are cut into windows of half the length, one
+    after the other, so any shared run holds one of them whole; samples are cut
+    at every place.  Windows are joined, and each hit is verified on both texts
+    around it.
     """
     half = length // 2
     cut = lambda step: F.transform(F.sequence(F.lit(1), F.length("t") - (half - 1), F.lit(step)), lambda i: F.struct(i.alias("at"), F.substring("t", i, half).alias("w")))
     # short texts give no window: a sequence may not run backwards
     a = candidates.select(F.col(candidate_id).alias("candidate"), F.col(text_col).alias("t")).where(F.length("t") >= length)
     b = samples.select(F.col(sample_id).alias("sample"), F.col(text_col).alias("t")).where(F.length("t") >= length)
-    wa = a.select("candidate", F.inline(cut(1))).select("candidate", F.col("at").alias("i"), "w")
-    wb = b.select("sample", F.inline(cut(half))).select("sample", F.col("at").alias("j"), "w")
+    wa = a.select("candidate", F.inline(cut(half))).select("candidate", F.col("at").alias("i"), "w")
+    wb = b.select("sample", F.inline(cut(1))).select("sample", F.col("at").alias("j"), "w")
     hits = wa.join(wb, "w").select("candidate", "sample", "i", "j")
     rows = hits.join(a.withColumnRenamed("t", "ta"), "candidate").join(b.withColumnRenamed("t", "tb"), "sample")
     # a run of the length that holds this window starts up to length - half places before it
     shifts = F.sequence(F.lit(0), F.lit(length - half))
-    run = lambda t, at, s: F.substring(t, at - s, F.lit(length))
+    run = lambda t, at, s: F.substring(F.col(t), at - s, F.lit(length))
     same = F.exists(shifts, lambda s: (F.col("i") > s) & (F.col("j") > s) & (F.length(run("ta", F.col("i"), s)) == length) & (run("ta", F.col("i"), s) == run("tb", F.col("j"), s)))
     return rows.where(same).select("candidate", "sample").distinct()
 
@@ -414,9 +414,3 @@ def separation(scores: DataFrame) -> DataFrame:
     own = F.min(F.when(F.col("profile") == F.col("candidate"), F.col("composite")))
     other = F.min(F.when(F.col("profile") != F.col("candidate"), F.col("composite")))
     return scores.groupBy("profile").agg(own.alias("own"), other.alias("best_other")).withColumn("separated", F.col("own") < F.col("best_other"))
-
-
-def sampled_subsets(n: int, m: int) -> float:
-    """Chance that all of max(1, n // 2) impostors drawn from n are among the m beaten."""
-    k = max(1, n // 2)
-    return comb(m, k) / comb(n, k)
