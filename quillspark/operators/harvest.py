@@ -97,7 +97,7 @@ def duplicate_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the first ``size - ceil(least * size) + 1`` grams of both, so only those
     prefixes meet in the join; the candidates are then verified on whole sets.
     """
-    grams = F.array_sort(F.transform(text.word_grams(F.transform(text.harvest_words(F.col(text_col)), F.lower), n), F.xxhash64))
+    grams = F.array_sort(F.transform(text.word_grams(text.prose_words(F.col(text_col)), n), lambda g: F.xxhash64(g)))
     rows = docs.select(F.col(id_col).alias("id"), grams.alias("g")).where(F.size("g") > 0)
     sets = rows.groupBy(F.sha2(F.to_json(F.struct("g")), 256).alias("k")).agg(F.min("id").alias("id"), F.first("g").alias("g"), F.count("*").alias("copies"))
     flat = sets.select("id", F.size("g").alias("n"), F.explode("g").alias("h"))
