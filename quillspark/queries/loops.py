@@ -80,10 +80,10 @@ def loop_replay(spark, sf):
 
 @query(
     f"""
-    WITH {_ROUNDS}, c AS (SELECT run, iteration AS round, floor(a)::INT AS violation_count, dev < 1.9 AS preserved FROM r WHERE iteration < 4),
-    e AS (SELECT *, CASE WHEN NOT preserved THEN 'preservation_violation' WHEN violation_count = 0 THEN 'converged' END AS ended FROM c),
-    f AS (SELECT run, min(round) FILTER (ended IS NOT NULL) AS r, max(round) AS last FROM e GROUP BY run)
-    SELECT f.run, coalesce(e.ended, 'capped') AS state, coalesce(r, last) + 1 AS rounds FROM f LEFT JOIN e ON e.run = f.run AND e.round = f.r
+    WITH {_ROUNDS}, c AS (SELECT run, iteration AS rnd, floor(a)::INT AS left_over, dev < 1.9 AS preserved FROM r WHERE iteration < 4),
+    g AS (SELECT run, rnd, CASE WHEN NOT preserved THEN 'preservation_violation' WHEN left_over = 0 THEN 'converged' END AS ended FROM c),
+    f AS (SELECT run, min(rnd) FILTER (ended IS NOT NULL) AS first_end, arg_min(ended, rnd) FILTER (ended IS NOT NULL) AS ended, max(rnd) AS last_rnd FROM g GROUP BY run)
+    SELECT run, coalesce(ended, 'capped') AS state, coalesce(first_end, last_rnd) + 1 AS rounds FROM f
     """
 )
 def climb_states(spark, sf):
