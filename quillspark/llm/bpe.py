@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,11 +15,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 #: Fixed value of the byte-level format: how a text falls into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: Letters, numbers and white space of Latin-1, where the standard engine is much the faster one.
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+
 #: Fixed value: ranges (hexadecimal) that the regex package's newer Unicode calls letters or
 #: numbers and the tokenizers library doesn't know as such yet.
 LATER = """
@@ -53,6 +57,9 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         later = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in LATER.split())
+        latin = WORDS.replace(r"\P{White_Space}", f"[^{LATIN_SPACES}]").replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{LATIN_SPACES}{LATIN_LETTERS}{LATIN_NUMBERS}]")
+        latin = latin.replace(r"\p{L}", f"[{LATIN_LETTERS}]").replace(r"\p{N}", f"[{LATIN_NUMBERS}]").replace(r"\p{White_Space}", f"[{LATIN_SPACES}]")
+        self.latin = re.compile(latin)
         self.plain, self.later = regex.compile(WORDS), regex.compile(f"[{later}]")
         exact = WORDS.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[{later}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])")
         self.exact = regex.compile(exact.replace(r"\p{L}+", rf"(?:(?![{later}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{later}])\p{{N}})+"))
@@ -61,8 +68,11 @@ class Bpe:
 
     def words(self, text: str) -> list[str]:
         """The words of a section; together they are the section."""
-        known = text.isascii() or not self.later.search(text)
-        return (self.plain if known else self.exact).findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return (self.exact if self.later.search(text) else self.plain).findall(text)
+        return self.latin.findall(text)
 
     def symbols(self, word: bytes) -> tuple[list[bytes | None], int]:
         """Symbols left after merging (None where one was merged away), and the number of merges.
@@ -122,29 +132,38 @@ class Cache(dict):
     """Word -> result, worked out when first asked for; emptied when it holds ``limit`` words (results don't depend on it)."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit, self.fixed = make, limit, {}
+        self.make, self.limit = make, limit
 
     def __missing__(self, word: str):
         if len(self) >= self.limit:
             self.clear()
-            self.update(self.fixed)
         out = self[word] = self.make(word)
         return out
 
 
-_caches: dict[tuple, Cache] = {}
+class Table(dict):
+    """The distinct-word table; other words are looked up in a cache."""
+
+    def __init__(self, words: pa.Table, rest: Cache):
+        super().__init__(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
+        self.rest = rest
+
+    def __missing__(self, word: str):
+        return self.rest[word]
+
+
+_caches: dict[tuple, dict] = {}
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
-    for x in column:
-        yield x.as_py() or ""
+    return (x or "" for x in column.to_pylist())
 
 
 def _counting(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         of = _caches.setdefault(("count", path), Cache(bpe.count, limit)).__getitem__
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for text in _texts(batch.column(1)):
                 out.append(sum(1 if special else sum(map(of, bpe.words(s))) for special, s in bpe.sections(text)))
@@ -170,7 +189,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def _word_counts(path: str, flush: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen = loaded(path), Counter()
-        for batch in batches:
+        for batch in small_batches(batches):
             for text in _texts(batch.column(0)):
                 for special, s in bpe.sections(text):
                     if not special:
@@ -199,7 +218,7 @@ def _encode_words(path: str):
     return run
 
 
-def word_table(docs: DataFrame, path: str, text_col: str = "text", table_rows: int = 500_000, longest: int = 48) -> DataFrame:
+def word_table(docs: DataFrame, path: str, text_col: str = "text", table_rows: int = 400_000, longest: int = 48) -> DataFrame:
     """``word, ids``: each distinct word that occurs twice or more, encoded once.
 
     At most ``table_rows`` words of at most ``longest`` characters, the most
@@ -225,21 +244,27 @@ def _encoding(path: str, table, name: str, limit: int):
             for old in [k for k in _caches if k[0] == "ids"]:
                 del _caches[old]
             with pa.ipc.open_stream(table.value) as stream:
-                words = stream.read_all()
-            cache = Cache(bpe.encode_word, words.num_rows + limit)
-            cache.fixed = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
-            cache.update(cache.fixed)
-            _caches[key] = cache
+                _caches[key] = Table(stream.read_all(), Cache(bpe.encode_word, limit))
         of = _caches[key].__getitem__
         special = {s: i.to_bytes(4, "little") for s, i in bpe.special.items()}
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [b"".join(special[s] if is_special else b"".join(map(of, bpe.words(s))) for is_special, s in bpe.sections(text)) for text in _texts(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 500_000) -> DataFrame:
+def _shared_table(docs: DataFrame, path: str, text_col: str, table_rows: int):
+    """The distinct-word table as a broadcast, and a name for it."""
+    table = word_table(docs, path, text_col, table_rows).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    packed = sink.getvalue().to_pybytes()
+    return docs.sparkSession.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 400_000) -> DataFrame:
     """``id, n_tokens, ids`` for each row; ``ids`` is packed little-endian unsigned 32-bit integers.
 
     Words are counted over the whole corpus, the distinct-word table is encoded
@@ -250,23 +275,24 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     become their own id, as is the library's default.
     """
     kind = dict(docs.dtypes)[id_col]
-    table = word_table(docs, path, text_col, table_rows).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as stream:
-        stream.write_table(table)
-    packed = sink.getvalue().to_pybytes()
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    name = hashlib.sha256(packed).hexdigest()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoding(path, shared, name, 100_000), f"id {kind}, n_tokens long, ids binary")
+    return rows.mapInArrow(_encoding(path, *_shared_table(docs, path, text_col, table_rows), 50_000), f"id {kind}, n_tokens long, ids binary")
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 400_000) -> DataFrame:
+    """``encode`` and ``decode`` in one worker: ``id, n_tokens, ids, text``; ids don't leave and enter Python again between them."""
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    to, back = _encoding(path, *_shared_table(docs, path, text_col, table_rows), 50_000), _decoding(path)
+    return rows.mapInArrow(lambda batches: back(to(batches)), f"id {kind}, n_tokens long, ids binary, text string")
 
 
 def _decoding(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         piece = [bpe.pieces.get(i, b"") for i in range(max(bpe.pieces) + 1)].__getitem__
-        for batch in batches:
-            texts = [b"".join(map(piece, memoryview(x.as_py() or b"").cast("I"))).decode("utf-8", "replace") for x in batch.column(2)]
+        for batch in small_batches(batches):
+            texts = [b"".join(map(piece, memoryview(x or b"").cast("I"))).decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "text"])
 
     return run

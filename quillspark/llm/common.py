@@ -84,5 +84,8 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
     return rows.join(hot, key).unionByName(part.join(cold, key))
 
 
-def count_rows(df: DataFrame) -> int:
-    return df.count()
+def small_batches(batches, rows: int = 500):
+    """Slices of Arrow batches, so that a worker makes Python objects of few rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

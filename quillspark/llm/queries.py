@@ -84,15 +84,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score").select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def bpe_digest(encoded: DataFrame, path: str) -> DataFrame:
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    rows = bpe.encode_decode(docs, public_tokenizers.path(BPE_FILE))
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
-    path = public_tokenizers.path(BPE_FILE)
-    return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_url_filter, op4_mixing, op5_license_scan, op6_token_counts, op7_embedding_dedup, op8_ann, op9_language_id, op10_bpe)}
