@@ -129,7 +129,7 @@ def build_index(sample: np.ndarray, ids: np.ndarray, top: float, lists: int, k:
 
 def lists_of(index: Index, lifted: np.ndarray, replicas: int, edge: float) -> list[int]:
     """Lists of one vector: the nearest centroid's, and further ones within ``edge`` times its distance, ``replicas`` at most."""
-    found = index.search(lifted, edge, replicas)
+    found = index.search(lifted, 1.0, replicas)  # ends near the nearest one: filing must not walk the whole graph
     return [c for d, c in found[:replicas] if d <= found[0][0] * edge] or [found[0][1]]
 
 
