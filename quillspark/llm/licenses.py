@@ -88,21 +88,29 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<struct<label:string,word:bigint>>")
     places = F.when((n > 0) & heads, F.concat(*at)).otherwise(none) if at else none
 
+    listed = F.array(
+        *[
+            F.struct(F.lit(label).alias("label"), F.lit(k).alias("template"), F.lit(need).alias("need"), _strings(ws).alias("tokens"), _strings(ws[: len(ws) - need + 1]).alias("prefix"))
+            for k, (label, ws, need) in enumerate(sets)
+        ]
+    )
+
     def judged(block: Column) -> Column:
+        """Templates that a window holds enough of."""
         held = block["held"]
-        out = []
-        for k, (label, ws, need) in enumerate(sets):
-            first = F.get(F.filter(_strings(ws[: len(ws) - need + 1]), lambda x: F.array_contains(held, x)), F.lit(0))
-            # shared tokens at most: those from the first shared one on, on either side
-            after = F.least(len(ws) - F.array_position(_strings(ws), first) + 1, F.size(held) - F.array_position(held, first) + 1)
-            share = F.size(F.array_intersect(held, _strings(ws)))
-            out.append(
-                F.when(
-                    (F.size(held) >= need) & first.isNotNull() & (after >= need) & (share >= need),
-                    F.struct(F.lit(label).alias("label"), F.lit(k).alias("template"), block["word"].cast("long").alias("word"), (share / len(ws)).alias("containment")),
-                )
-            )
-        return F.array_compact(F.array(*out))
+
+        def near(t: Column) -> Column:
+            # held is in the global order, so the first shared token is the rarest one; shared tokens are those from it on, on either side
+            first = F.get(F.array_intersect(t["prefix"], held), F.lit(0))
+            after = F.least(F.size(t["tokens"]) - F.array_position(t["tokens"], first), F.size(held) - F.array_position(held, first)) + 1
+            return (F.size(held) >= t["need"]) & first.isNotNull() & (after >= t["need"])
+
+        def match(t: Column) -> Column:
+            share = F.size(F.array_intersect(held, t["tokens"])) / F.size(t["tokens"])
+            return F.struct(t["label"].alias("label"), t["template"].alias("template"), block["word"].cast("long").alias("word"), share.alias("containment"))
+
+        enough = lambda t: F.size(F.array_intersect(held, t["tokens"])) >= t["need"]
+        return F.transform(F.filter(F.filter(listed, near), enough), match)
 
     nothing = F.array().cast("array<struct<label:string,template:int,word:bigint,containment:double>>")
     matches = nothing
