@@ -63,34 +63,34 @@ def smallest(low: int, high: int, holds) -> int:
 def minimax_cuts(n_groups: int, total: int, largest: int, shards: int, fetch, cells: int = 1 << 16) -> tuple[int, list[int]]:
     """Smallest capacity and the ranks of the last group of each shard.
 
-    ``fetch(windows, width)`` returns (rank, prefix sum) at every rank in one
-    of the windows that is a multiple of ``width``; at most about ``cells`` are
-    asked for at once.
+    ``fetch(windows, width)`` returns (rank, prefix sum) of the first rank of
+    each window and of every ``width``-th one after it; at most about ``cells``
+    are asked for at once.
     """
     p = Prefix(n_groups, total)
-    windows, done = [(1, n_groups)], n_groups <= 1
+    windows, widest = [(1, n_groups)], n_groups
     floor_ = max(largest, -(-total // shards)) - 1
     while True:
-        if not done:
-            asked = sum(b - a + 1 for a, b in windows)
-            p.add(fetch(windows, max(1, -(-asked // cells))))
+        asked = sum(b - a + 1 for a, b in windows)
+        if asked:
+            # no wider than the widest open gap, so that each call brings something new
+            p.add(fetch(windows, max(1, min(-(-asked // cells), widest))))
         sure = smallest(floor_, max(total, floor_ + 1), lambda c: p.fits(c, shards, False))
         maybe = smallest(floor_, sure, lambda c: p.fits(c, shards, True))
         lower, upper = p.cuts(maybe, shards, False), p.cuts(sure, shards, True)
         if maybe == sure and all(exact for *_, exact in lower):
             return sure, [p.ranks[i] for i, *_ in lower]
-        windows = []
-        for k, (i, at, exact) in enumerate(upper):
+        windows, widest, done = [], 1, 0
+        for k, (i, at, _) in enumerate(upper):
             # a cut lies no earlier than the pessimistic one of the least capacity, no later than this one
-            a = p.ranks[lower[k][0] if k < len(lower) else i]
-            j = min(bisect_right(p.ends, at), len(p.ranks) - 1)
-            b = p.ranks[j]
-            if b > a + 1:
-                a = max(a, windows[-1][1] if windows else 0)
-                if b > a + 1:
-                    windows.append((a + 1, b - 1))
-        done = not windows
-        if done:
+            first = max(lower[k][0] if k < len(lower) else i, done)
+            last = min(bisect_right(p.ends, at), len(p.ranks) - 1)
+            gaps = [(p.ranks[t] + 1, p.ranks[t + 1] - 1) for t in range(first, last) if p.ranks[t + 1] - p.ranks[t] > 1]
+            if gaps:
+                windows.append((gaps[0][0], gaps[-1][1]))
+                widest = max([widest, *(b - a + 1 for a, b in gaps)])
+                done = last
+        if not windows:
             raise AssertionError("cuts stay open without an unknown group")
 
 
@@ -139,8 +139,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     def fetch(windows: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
         some = F.lit(False)
         for lo, hi in windows:
-            some = some | F.col("rank").between(lo, hi)
-        return [(r["rank"], r["end"]) for r in placed.where(some & (F.col("rank") % width == 0)).select("rank", "end").collect()]
+            some = some | (F.col("rank").between(lo, hi) & ((F.col("rank") - lo) % width == 0))
+        return [(r["rank"], r["end"]) for r in placed.where(some).select("rank", "end").collect()]
 
     capacity, last = minimax_cuts(g, b, max(p["largest"] for p in parts), n_shards, fetch) if parts else (0, [])
     cut = F.array(*[F.lit(r).cast("long") for r in last[:-1]]) if len(last) > 1 else F.array().cast("array<long>")
