@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
     ``release``, ``deadline``, ``slot`` (of the block), ``position`` (slot *
     block_docs + place in the block) and ``in_mix``.  The mix holds its target
     weights up to the first slot in which a source with at least ``stop_share``
-    of the frame has no full block left; rows before it are ``in_mix``.  Later
+    of the frame has nothing left; rows before it are ``in_mix``.  Later
     rows are still placed by the same rule, so none is lost.
 
     Within a source rows go by the MD5 of their id, a shuffle that is the same
@@ -90,9 +90,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
         raise ValueError(f"{totals['m']} sources; at most {min(MAX_SOURCES, frame)} are allowed")
     shares = saved(source_shares(sizes, weights, frame))
     plan = saved(frame_schedule(shares, frame))  # frame rows
-    ends = shares.where(F.col("share") >= stop_share * frame).withColumn("full", F.floor(F.col("n") / block_docs))
-    ends = ends.withColumn("j", (F.col("full") % F.col("share")).cast("int")).join(F.broadcast(plan), ["idx", "j"])
-    horizon = ends.agg(F.min(F.floor(F.col("full") / F.col("share")) * frame + F.col("slot_in_frame")).alias("h")).first()["h"] or 0
+    ends = shares.where(F.col("share") >= stop_share * frame).withColumn("blocks", F.ceil(F.col("n") / block_docs))
+    ends = ends.withColumn("j", (F.col("blocks") % F.col("share")).cast("int")).join(F.broadcast(plan), ["idx", "j"])
+    horizon = ends.agg(F.min(F.floor(F.col("blocks") / F.col("share")) * frame + F.col("slot_in_frame")).alias("h")).first()["h"] or 0
 
     salts = salt_count(totals["n"])
     cols = docs.columns
