@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 
-OPS = "struct<added:int,removed:int,changed:int,ratio:double>"
+OPS = "struct<added:int,removed:int,changed:int,ratio:double,shared:int>"
 
 
 def operations(a: Column, b: Column) -> Column:
-    """Added, removed and changed tokens and the ratio between two token arrays (difflib, default settings)."""
-    kind = pa.struct([("added", pa.int32()), ("removed", pa.int32()), ("changed", pa.int32()), ("ratio", pa.float64())])
+    """Added, removed and changed tokens and the ratio between two token arrays (difflib, default settings), and their shared multiset."""
+    kind = pa.struct([("added", pa.int32()), ("removed", pa.int32()), ("changed", pa.int32()), ("ratio", pa.float64()), ("shared", pa.int32())])
 
     @F.arrow_udf(OPS)
     def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -27,7 +28,7 @@ def operations(a: Column, b: Column) -> Column:
             m, n = SequenceMatcher(None, x, y), {"replace": 0, "delete": 0, "insert": 0, "equal": 0}
             for tag, i, j, k, end in m.get_opcodes():
                 n[tag] += max(j - i, end - k)
-            out.append({"added": n["insert"], "removed": n["delete"], "changed": n["replace"], "ratio": m.ratio()})
+            out.append({"added": n["insert"], "removed": n["delete"], "changed": n["replace"], "ratio": m.ratio(), "shared": (Counter(x) & Counter(y)).total()})
         return pa.array(out, kind)
 
     return run(a, b)
@@ -44,31 +45,13 @@ def bag_overlap(pairs: DataFrame, id_col: str, original: str, rewritten: str) ->
     return sums.select(id_col, "shared", "tokens", F.when(F.col("tokens") > 0, F.round(F.col("shared") / F.col("tokens"), 6)).otherwise(0.0).alias("overlap"))
 
 
-def shared_tokens(a: Column, b: Column) -> Column:
-    """X3 in the row: size of the multiset intersection, by merging two sorted arrays of (token, nth)."""
-    numbered = lambda xs: _nth(F.array_sort(xs))
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
-
-
-def _nth(ordered: Column) -> Column:
-    """Token and its how-manieth, as one string, so that a set intersection counts multiples."""
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, w):
-        n = F.when(a["w"] == w, a["n"] + 1).otherwise(0)
-        return F.struct(w.alias("w"), n.alias("n"), F.concat(a["out"], F.array(F.concat_ws("#", w, n.cast("string")))).alias("out"))
-
-    return F.aggregate(ordered, start, step, lambda a: a["out"])
-
-
 def diff(pairs: DataFrame, original: str = "original", rewritten: str = "rewritten") -> DataFrame:
     """Add ``diff``, X1-X4 as a struct, to every pair; nothing is shuffled.  Null if either text is."""
     rows = pairs.withColumn("_a", text.diff_tokens(F.col(original))).withColumn("_b", text.diff_tokens(F.col(rewritten)))
     rows = rows.withColumn("_o", operations(F.col("_a"), F.col("_b"))).withColumn("_n", F.size("_a")).withColumn("_m", F.size("_b"))
-    rows = rows.withColumn("_s", shared_tokens(F.col("_a"), F.col("_b")))
     o, n, m = F.col("_o"), F.col("_n"), F.col("_m")
     rows = rows.withColumn("_p", F.when(n > 0, (o["added"] + o["removed"] + o["changed"]) / n * 100).otherwise(0.0))
-    rows = rows.withColumn("_k", F.when(n > 0, F.col("_s") / n).otherwise(0.0)).withColumn("_l", F.when(n > 0, m / n).otherwise(0.0))
+    rows = rows.withColumn("_k", F.when(n > 0, F.col("_o")["shared"] / n).otherwise(0.0)).withColumn("_l", F.when(n > 0, m / n).otherwise(0.0))
     p, k, size = F.col("_p"), F.col("_k"), F.col("_l")
     percent = lambda x: F.concat(F.bround(x * 100, 0).cast("int"), F.lit("%"))
     flags = F.array_compact(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -23,14 +24,20 @@ def percentile(ordered: np.ndarray, q: float) -> float:
     return float(np.percentile(ordered, 100 * q)) if len(ordered) else 0.0
 
 
+@lru_cache(64)
+def resamples(n: int, seed: int) -> np.ndarray:
+    """The seeded draws for samples of one size; groups of that size share them."""
+    rng = random.Random(seed)
+    return np.array([[rng.randrange(n) for _ in range(n)] for _ in range(RESAMPLES)])
+
+
 def bca(sample: list[float], seed: int, alpha: float = 0.05) -> tuple[float, float]:
     """M2: bias-corrected, accelerated bootstrap interval of the mean; the percentile interval where the bias can't be told."""
     n = len(sample)
     if n < 2:
         return 0.0, 0.0
-    x, rng = np.array(sample), random.Random(seed)
-    picks = np.array([[rng.randrange(n) for _ in range(n)] for _ in range(RESAMPLES)])
-    boot = np.sort(x[picks].mean(1))
+    x = np.array(sample)
+    boot = np.sort(x[resamples(n, seed)].mean(1))
     below = float((boot < x.mean()).mean())
     if not 0 < below < 1:
         return percentile(boot, alpha / 2), percentile(boot, 1 - alpha / 2)
@@ -46,6 +53,11 @@ def bca(sample: list[float], seed: int, alpha: float = 0.05) -> tuple[float, flo
     return percentile(boot, at(normal.inv_cdf(alpha / 2))), percentile(boot, at(normal.inv_cdf(1 - alpha / 2)))
 
 
+@lru_cache(16)
+def sign_patterns(n: int) -> np.ndarray:
+    return 1 - 2 * (np.arange(2**n)[:, None] >> np.arange(n) & 1)
+
+
 def sign_flip(sample: list[float], seed: int) -> float:
     """M3: two-sided p-value that the mean is 0; exact up to 12 values, else 20,000 seeded flips."""
     n = len(sample)
@@ -54,8 +66,7 @@ def sign_flip(sample: list[float], seed: int) -> float:
     x = np.array(sample)
     least = abs(x.sum()) - 1e-12
     if n <= EXACT:
-        signs = 1 - 2 * (np.arange(2**n)[:, None] >> np.arange(n) & 1)
-        return float((np.abs(signs @ x) >= least).mean())
+        return float((np.abs(sign_patterns(n) @ x) >= least).mean())
     rng = random.Random(seed)
     hits = sum(abs(sum(v if rng.random() < 0.5 else -v for v in sample)) >= least for _ in range(FLIPS))
     return (hits + 1) / (FLIPS + 1)

@@ -56,10 +56,10 @@ def seeded_sql(columns: str = "doc_id, source") -> str:
 
 
 def altered(docs: DataFrame) -> DataFrame:
-    """Each document as ``original`` beside a rewrite: every 'and' loses its place to a comma, the seventh carrier word list goes."""
-    t = F.regexp_replace(F.regexp_replace("text", r" and ", ", "), r"\b(?:not|most|may|if)\b ", "")
+    """Each document as ``original`` beside a rewrite: 'and' gives way to a comma, and some words go."""
+    t = F.regexp_replace(F.regexp_replace("text", " and ", ", "), " (?:not|most|may|if) ", " ")
     return docs.withColumn("original", F.col("text")).withColumn("rewritten", t).drop("text")
 
 
 def altered_sql() -> str:
-    return rf"SELECT doc_id, text AS original, regexp_replace(regexp_replace(text, ' and ', ', ', 'g'), '\b(?:not|most|may|if)\b ', '', 'g') AS rewritten FROM ({seeded_sql('doc_id')})"
+    return rf"SELECT doc_id, text AS original, regexp_replace(regexp_replace(text, ' and ', ', ', 'g'), ' (?:not|most|may|if) ', ' ', 'g') AS rewritten FROM ({seeded_sql('doc_id')})"

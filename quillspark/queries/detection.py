@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -188,16 +187,16 @@ def constraint_spans(spark, sf):
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("characters"))
 
 
-def _drift_counts(words: str) -> str:
-    p = facts.whole(words)
-    return f"{sql.count_of('lower(original)', p)}::INT, {sql.count_of('lower(rewritten)', p)}::INT"
+def _plain(c: str) -> str:
+    """Lower case, with a letter for every non-ASCII character, so that word boundaries agree."""
+    return f"regexp_replace(lower({c}), '[^\\x00-\\x7F]', 'x', 'g')"
 
 
 def _drift_sql() -> str:
     scope = facts.whole(facts.SCOPES)
-    n = lambda c, w: f"{sql.count_of(f'lower({c})', facts.whole(w))}::INT"
+    n = lambda c, w: f"{sql.count_of(_plain(c), facts.whole(w))}::INT"
     cols = ", ".join(f"{n('original', w)} AS {k}, {n('rewritten', w)} AS {k}_left" for k, w in (("negations", facts.NEGATIONS), ("conditions", facts.CONDITIONS), ("weak", facts.WEAK), ("strong", facts.STRONG)))
-    lost = f"array_to_string(list_sort(list_filter(list_distinct({sql.found('lower(original)', scope)}), lambda w: NOT list_contains({sql.found('lower(rewritten)', scope)}, w))), ',')"
+    lost = f"array_to_string(list_sort(list_filter(list_distinct({sql.found(_plain('original'), scope)}), lambda w: NOT list_contains({sql.found(_plain('rewritten'), scope)}, w))), ',')"
     return f"SELECT doc_id, {cols}, {lost} AS lost_scope FROM ({altered_sql()})"
 
 
@@ -255,7 +254,3 @@ def top_changes(spark, sf):
     """The three most changed documents of each source: a top-k report."""
     rows = diff.diff(altered(_seeded(spark, sf, "source"))).withColumn("changed", F.col("diff")["change_percentage"])
     return diff.largest_changes(rows, 3, "source", "changed").select("source", "rank", "doc_id", "changed")
-
-
-def rank_window(*keys):
-    return Window.partitionBy(*keys)

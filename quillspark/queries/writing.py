@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -88,14 +87,6 @@ def drop_stats(spark, sf):
     return corpus.drop_stats(harvest.waterfall(_raw(spark, sf), 40, "2023-01-01", date=F.col("date")))
 
 
-_GRAMS = f"w AS (SELECT doc_id, {sql.prose_words('text')} AS w FROM documents), g AS (SELECT doc_id, unnest({sql.word_grams('w', 5)}) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY ALL)"
-_EDGES = f"{_GRAMS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL), e AS (SELECT a, b, shared, shared / least(x.n, y.n) AS overlap FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / least(x.n, y.n) > 0.6)"
-
-
-def _classes(edges):
-    return edges.select("a", "b").distinct()
-
-
 @query()
 def near_duplicates(spark, sf):
     """Links between different texts over 0.6, and each copy's link to the first of its class."""
@@ -326,7 +317,3 @@ def standalone_facts(spark, sf):
     """Facts of each document, and how many stand alone in it."""
     rows = seeded(documents(spark, sf, "doc_id", "text")).withColumn("c", facts.constraints(F.col("text")))
     return rows.select("doc_id", F.size("c").alias("facts"), F.size(F.array_distinct(F.col("c")["type"])).alias("types"))
-
-
-def ordered(*keys):
-    return Window.orderBy(*keys)
