@@ -89,7 +89,7 @@ def top_words(docs: DataFrame, by: str, what: str, k: int, text_col: str = "text
 
 def burstiness(median: Column, iqr: Column) -> Column:
     """K5."""
-    ratio = iqr / median
+    ratio = F.try_divide(iqr, median)
     return F.when(median <= 0, "uneven").when(ratio < 0.5, "steady").when(ratio < 1.1, "moderately bursty").otherwise("very bursty")
 
 

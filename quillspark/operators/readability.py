@@ -16,7 +16,7 @@ def lengths(sentences: Column) -> Column:
 
 def flesch(words: Column, sentences: Column, syllables: Column) -> tuple[Column, Column]:
     """Reading ease and grade from counts."""
-    per_sentence, per_word = words / sentences, syllables / words
+    per_sentence, per_word = F.try_divide(words, sentences), F.try_divide(syllables, words)
     return F.lit(206.835) - per_sentence * 1.015 - per_word * 84.6, per_sentence * 0.39 + per_word * 11.8 - 15.59
 
 
@@ -34,7 +34,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("_freq", _frequencies(F.col("_content")))
     w, s, n = F.size("_words"), F.size("_sentences"), F.col("_lengths")
     ease, grade = flesch(w, s, F.col("_syllables"))
-    average, spread = w / s, F.array_max(n) - F.array_min(n)
+    average, spread = F.try_divide(w, s), F.array_max(n) - F.array_min(n)
     varied = numbers.variance(n)
     similar = numbers.longest_run(n, lambda p, x: F.abs(x - p) <= 3)
     tiny = _longest_tiny(F.col("_units"))

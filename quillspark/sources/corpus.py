@@ -19,7 +19,7 @@ def read_documents(spark: SparkSession, path: str | list[str], suffixes: tuple[s
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     meta = F.col("_metadata")
     rows = files.select(meta["file_path"].alias("path"), F.col("value").alias("text"), F.unix_micros(meta["file_modification_time"]).alias("us"))
-    return rows.select("path", "text", (F.col("us") / 1e6).alias("mtime"), F.when(F.trim("text") == "", "empty").otherwise("ok").alias("status"))
+    return rows.select("path", "text", (F.col("us") / 1e6).alias("mtime"), F.when(F.col("text").rlike(r"\S"), "ok").otherwise("empty").alias("status"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], suffix: str = "jsonl") -> DataFrame:
@@ -29,7 +29,7 @@ def read_lines(spark: SparkSession, path: str | list[str], suffix: str = "jsonl"
     """
     files = read_documents(spark, path, (suffix,))
     lines = files.select("path", F.posexplode(F.split("text", r"\r\n|[\r\n]")).alias("at", "value"))
-    return lines.where(F.trim("value") != "").select("path", (F.col("at") + 1).alias("line"), "value")
+    return lines.where(F.col("value").rlike(r"\S")).select("path", (F.col("at") + 1).alias("line"), "value")
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
