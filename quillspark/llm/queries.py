@@ -96,4 +96,65 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_url_filter, op4_mixing, op5_license_scan, op6_token_counts, op7_embedding_dedup, op8_ann, op9_language_id, op10_bpe)}
 
-ORACLE: dict[str, str] = {}
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(items) -> str:
+    return "[" + ", ".join(_text(x) for x in items) + "]"
+
+
+def _license_sql() -> str:
+    """Places by comparing words one by one; matches by counting template tokens in every window."""
+    stride = max(len(licenses.tokens(t)) for _, t in licenses.TEMPLATES)
+    starts = []
+    for label, phrase in licenses.PHRASES:
+        same = " AND ".join(f"w[i + {k}] = {_text(x)}" for k, x in enumerate(licenses.tokens(phrase), 1))
+        starts.append(f"list_transform(list_filter(range(0, len(w)), lambda i: {same}), lambda i: {{'label': {_text(label)}, 'at': i}})")
+    found = []
+    for label, t in licenses.TEMPLATES:
+        own = list(dict.fromkeys(licenses.tokens(t)))
+        found.append(f"list_transform(b, lambda x: {{'label': {_text(label)}, 'share': len(list_filter({_list(own)}, lambda y: list_contains(x, y))) / {len(own)}}})")
+    empty = "[]::STRUCT(label VARCHAR, share DOUBLE)[]"
+    return f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, flatten([{", ".join(starts)}]) AS p, list_transform(range(0, len(w), {stride}), lambda i: w[i + 1:i + {2 * stride}]) AS b FROM d),
+    m AS (SELECT doc_id, w, p, CASE WHEN len(b) = 0 THEN {empty} ELSE list_filter(flatten([{", ".join(found)}]), lambda x: x.share >= 0.8 - 1e-9) END AS m FROM p)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
+      array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), list_transform(m, lambda x: x.label)))), ',') AS labels,
+      CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(list_max(list_transform(m, lambda x: x.share)), 0.0) END AS score
+    FROM m
+    """
+
+
+_MIXING_SQL = """
+    WITH RECURSIVE z AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    e AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, round((1000 - count(*) OVER ()) * pow(n, 0.9) / sum(pow(n, 0.9)) OVER (), 9) AS exact FROM z),
+    s AS (SELECT source, n, idx, (1 + floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, idx) <= 1000 - count(*) OVER () - sum(floor(exact)) OVER () THEN 1 ELSE 0 END)::INT AS share FROM e),
+    l AS (SELECT list(share ORDER BY idx) AS a FROM s),
+    f AS (SELECT 0 AS t, list_transform(a, lambda x: 0) AS done, a, -1 AS pick FROM l
+      UNION ALL
+      SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j - 1 = k THEN d + 1 ELSE d END), a, k FROM (
+        SELECT t, done, a, list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN done[i] < a[i] AND done[i] * 1000 // a[i] <= t THEN ((done[i] + 1) * 1000 + a[i] - 1) // a[i] * 10000 + i - 1 END)) % 10000 AS k
+        FROM f WHERE t < 1000)),
+    g AS (SELECT pick AS idx, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM f WHERE pick >= 0),
+    h AS (SELECT min((n + 15) // 16 // share * 1000 + slot) AS h FROM s JOIN g ON g.idx = s.idx AND g.j = (n + 15) // 16 % share WHERE share >= 10),
+    r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % greatest(64, ((SELECT count(*) FROM documents) + 49999) // 50000), doc_id) - 1 AS source_row FROM documents),
+    b AS (SELECT r.doc_id, r.source, source_row, source_row // 16 AS block, share, idx, source_row // 16 // share * 1000 AS before, source_row // 16 % share AS j FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source)
+    SELECT doc_id, source, source_row, block, before + j * 1000 // share AS release, before + ((j + 1) * 1000 + share - 1) // share AS deadline, before + slot AS slot,
+      (before + slot) * 16 + source_row % 16 AS position, before + slot < h.h AS in_mix, share
+    FROM b JOIN g USING (idx, j), h
+"""
+
+_NEAR_VECTORS_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.9),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+#: The others aren't stated in SQL: XXH64, trained models, byte-pair merging, minimax search and approximate search are tested against plain versions.
+ORACLE: dict[str, str] = {"op4_mixing": _MIXING_SQL, "op5_license_scan": _license_sql(), "op7_embedding_dedup": _NEAR_VECTORS_SQL}
