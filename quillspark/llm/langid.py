@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNKNOWN = "und"
 MAX_LANGUAGES = 300
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -65,9 +67,9 @@ class Model:
 def _document_counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((1 << bits) + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column(0):
-                df[features(text.as_py(), bits)[0]] += 1
+        for batch in small_batches(batches):
+            for text in batch.column(0).to_pylist():
+                df[features(text, bits)[0]] += 1
                 n += 1
         df[-1] = n
         there = np.flatnonzero(df)
@@ -169,10 +171,10 @@ def train(labelled: DataFrame, id_col: str = "id", text_col: str = "text", lang_
 def _predicting(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             lang, score = [], []
-            for text, letters in zip(batch.column(1), batch.column(2), strict=True):
-                best = model.predict(text.as_py()) if letters.as_py() else (UNKNOWN, 0.0)
+            for text, letters in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                best = model.predict(text) if letters else (UNKNOWN, 0.0)
                 lang.append(best[0])
                 score.append(best[1])
             out = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
