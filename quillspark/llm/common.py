@@ -32,14 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def saved(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+def saved(df: DataFrame, paths: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage and outlives executors.  The path is appended to
-    ``paths`` so that a loop can drop tables it has superseded.
+    ``paths`` so that a loop can drop tables it has superseded.  ``rows``: about
+    how many narrow rows there are at most; the table is then written in as few
+    files as that takes (25,000 rows each), not in one for every shuffle
+    partition.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(2 + rows // 25_000)
     df.write.parquet(path)
     if paths is not None:
         paths.append(path)

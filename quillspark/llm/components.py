@@ -14,34 +14,36 @@ from pyspark.sql import functions as F
 from .common import drop_saved, saved
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Columns ``node`` and ``component`` (smallest node reachable) for every node with an edge.
 
     Self-loops, repeated edges and either direction are allowed; null ends are
     ignored.  Rounds grow with the logarithm of the longest path; if
     ``max_rounds`` is ever reached this raises instead of returning labels
-    that are not final.
+    that are not final.  ``rows``: number of edges, if known; no table of the
+    loop holds more than twice as many.
     """
     spark, old = edges.sparkSession, []
     pair = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    star = saved(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), old)
+    star = saved(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), old, rows)
+    twice = None if rows is None else 2 * rows
     for _ in range(max_rounds):
         # star holds (larger, smaller) pairs
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.when(F.col("v") < F.col("u"), 1)).alias("less"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("more"))
         mine: list[str] = []
-        near = saved(near, mine)
+        near = saved(near, mine, twice)
         open_nodes = near.where("less > 1 or (less = 1 and more > 0)").limit(1).count()
         if not open_nodes:
             break
         # large star: larger neighbours of u move to the smallest of u and its neighbours
         low = near.select("u", F.least("u", "low").alias("m"))
-        large = saved(star.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), mine)
+        large = saved(star.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), mine, rows)
         # small star: u and its smaller neighbours move to the smallest of them
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), mine)
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), mine, rows)
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after: list[str] = []
-        star = saved(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), after)
+        star = saved(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), after, twice)
         drop_saved(spark, old + mine)
         old = after
     else:

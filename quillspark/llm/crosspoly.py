@@ -208,7 +208,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "v
     parts = max(int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks = blocks.repartition(parts, "t", "code", "left", "right").sortWithinPartitions("t", "code", "left", "right")
     found = saved(blocks.mapInArrow(_comparing(threshold, tables), f"id {kinds['id']}, links long, label {kinds['id']}"))
-    labels = saved(connected_components(found.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+    edges = found.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    m = edges.count()
+    labels = saved(connected_components(edges, rows=m), rows=2 * m)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.select("key", "id", "n").join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = saved(named.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))

@@ -84,12 +84,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
     places.  At most ``MAX_SOURCES`` sources are allowed (else ValueError).
     Other columns pass through unread.  An empty table gives an empty result.
     """
-    sizes = saved(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")))
+    sizes = saved(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")), rows=0)
     totals = sizes.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     if totals["m"] > min(MAX_SOURCES, frame):
         raise ValueError(f"{totals['m']} sources; at most {min(MAX_SOURCES, frame)} are allowed")
-    shares = saved(source_shares(sizes, weights, frame))
-    plan = saved(frame_schedule(shares, frame))  # frame rows
+    shares = saved(source_shares(sizes, weights, frame), rows=0)
+    plan = saved(frame_schedule(shares, frame), rows=frame)
     ends = shares.where(F.col("share") >= stop_share * frame).withColumn("blocks", F.ceil(F.col("n") / block_docs))
     ends = ends.withColumn("j", (F.col("blocks") % F.col("share")).cast("int")).join(F.broadcast(plan), ["idx", "j"])
     horizon = ends.agg(F.min(F.floor(F.col("blocks") / F.col("share")) * frame + F.col("slot_in_frame")).alias("h")).first()["h"] or 0
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
     cells = whole.groupBy("source", "salt").agg(F.count("*").alias("n"))  # sources * salts rows, combined before the shuffle
     skip = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("salt", skip.alias("skip"), key_of("source").alias("skey"))
-    cells = saved(cells.join(F.broadcast(shares.select(key_of("source").alias("skey"), "idx", "share")), "skey"))
+    cells = saved(cells.join(F.broadcast(shares.select(key_of("source").alias("skey"), "idx", "share")), "skey"), rows=totals["m"] * salts)
     nth = F.row_number().over(Window.partitionBy("skey", "salt").orderBy(F.asc_nulls_first("id")))
     rows = whole.withColumn("skey", key_of("source")).withColumn("nth", nth).join(cells, ["skey", "salt"])
     rows = rows.withColumn("source_row", F.col("skip") + F.col("nth") - 1).withColumn("block", F.floor(F.col("source_row") / block_docs))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_lookup, saved
+from .common import hot_lookup, saved, small_batches
 from .components import connected_components
 
 BITS = 64
@@ -49,8 +49,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int =
 
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64).view(np.int64)
+        for batch in small_batches(batches):
+            prints = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(prints)], ["id", "fp"])
 
     return run
@@ -66,7 +66,7 @@ def masks(radius: int) -> list[int]:
     return out
 
 
-def near_links(prints: DataFrame, radius: int = 2, pair_limit: int = 48) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 2, pair_limit: int = 48, rows: int | None = None) -> DataFrame:
     """Links between distinct fingerprints (column ``fp``): at least enough of them to connect all that are within ``radius``.
 
     A bucket of up to ``pair_limit`` distinct fingerprints is compared pair by
@@ -75,12 +75,12 @@ def near_links(prints: DataFrame, radius: int = 2, pair_limit: int = 48) -> Data
     leaves out (members of a bucket differ only there).  Two of them share a
     file just if they differ in at most two bits, so this is exact as well,
     with rows in proportion to the members.  It holds for radius 2 only; other
-    radii always compare by pairs.
+    radii always compare by pairs.  ``rows``: number of fingerprints, if known.
     """
     tables = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.lit(m).cast("long").alias("mask")) for t, m in enumerate(masks(radius))])
     filed = prints.select("fp", F.inline(tables)).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "mask")
-    sizes = saved(filed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = saved(filed.join(sizes, ["t", "key"]))
+    sizes = saved(filed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), rows=rows and 3 * rows)
+    members = saved(filed.join(sizes, ["t", "key"]), rows=rows and 7 * rows)
     if radius != 2:
         pair_limit = 2**62
     small = members.where(F.col("n") <= pair_limit)
@@ -109,14 +109,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their names can't clash.  An empty table gives an empty result.
     """
     rows = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle, seed), f"id {dict(docs.select(id_col).dtypes)[id_col]}, fp long"))
-    prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    links = saved(near_links(prints, radius))
-    labels = saved(connected_components(links))
+    n = rows.count()
+    prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), rows=n)
+    links = saved(near_links(prints, radius, rows=n), rows=7 * n)
+    m = links.count()
+    labels = saved(connected_components(links, rows=m), rows=2 * m)
     named = prints.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = saved(named)
+    named = saved(named, rows=n)
     ids = named.groupBy("component").agg(F.min("least").alias("smallest"))
-    table = saved(named.join(ids, "component").select("fp", "n", F.col("smallest").alias("component")))
-    return hot_lookup(rows, table, "fp", "n", rows.count()).select("id", "fp", "component")
+    table = saved(named.join(ids, "component").select("fp", "n", F.col("smallest").alias("component")), rows=n)
+    return hot_lookup(rows, table, "fp", "n", n).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -125,8 +127,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows that repeat this very id, one stays.  Rows with a null id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = saved(found.where("id = component").select(F.col("id").alias(id_col)).distinct())
-    kept = docs.join(keep, id_col, "left_semi")
+    keep = saved(found.where("id = component").select(F.col("id").alias(id_col)).distinct(), rows=found.count())
+    kept = docs.join(keep.hint("merge"), id_col, "left_semi")  # alike at every size: never a broadcast of ids
     again = kept.groupBy(id_col).count().where("count > 1").limit(1).count()
     if again:
         kept = kept.dropDuplicates([id_col])
