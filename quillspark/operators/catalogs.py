@@ -111,9 +111,9 @@ def redact(rows: DataFrame, text_col: str = "text", tell_col: str = "tell", term
 
 def precheck(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=None) -> DataFrame:
     """Findings of both scanners as one relation: ``id, source, kind``."""
-    words = detect.scan(docs, text_col, rules).select(id_col, F.lit("phrase").alias("source"), F.explode(F.col("violations")["category"]).alias("kind"))
-    shape = structure.scan(docs, text_col).select(id_col, F.lit("structure").alias("source"), F.explode(F.col("structure")["flags"]["metric"]).alias("kind"))
-    return words.unionByName(shape).distinct()
+    words = detect.scan(docs, text_col, rules).select(id_col, F.lit("phrase").alias("source"), F.explode_outer(F.col("violations")["category"]).alias("kind"))
+    shape = structure.scan(docs, text_col).select(id_col, F.lit("structure").alias("source"), F.explode_outer(F.col("structure")["flags"]["metric"]).alias("kind"))
+    return words.unionByName(shape).where("kind is not null").distinct()
 
 
 def manifest_problems(bundles: DataFrame) -> DataFrame:

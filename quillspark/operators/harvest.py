@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text
 from quillspark.operators import detect, structure
 from quillspark.plans.rules import Rule
+from quillspark.plans.scratch import checkpointed
 
 # Patterns of the filters and cells.
 TAG = r"(?i)<(?:system-reminder|[^>\s]+)[^>]*>[\s\S]*?</(?:system-reminder|[^>\s]+)>"
@@ -126,14 +127,14 @@ def resolve_greedy(ids: DataFrame, edges: DataFrame, max_rounds: int = 100) -> D
     neighbour and drops those with a kept one; rounds are bounded by the
     longest chain of dependent decisions.  Decisions are checkpointed.
     """
-    state = ids.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    later = edges.select("a", "b").distinct().checkpoint()
+    state = checkpointed(ids.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    later = checkpointed(edges.select("a", "b").distinct())
     for _ in range(max_rounds):
         view = later.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         facts = view.groupBy("b").agg(F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("open"))
         after = state.join(facts.withColumnRenamed("b", "id"), "id", "left")
         decided = F.coalesce(F.col("kept"), F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True)))
-        state = after.select("id", decided.alias("kept")).checkpoint()
+        state = checkpointed(after.select("id", decided.alias("kept")))
         if not state.where("kept is null").limit(1).count():
             return state
     raise RuntimeError(f"decisions still open after {max_rounds} rounds")

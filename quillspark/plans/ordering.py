@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.plans.scratch import checkpointed
+
 
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
     """Add ``name``, the 0-based place of each row in the order.
@@ -13,7 +15,8 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "n") -> Dat
     their partition from its offset.  The order should be total, so that the
     numbers are the same each time.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = checkpointed(ranged)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
     offsets, seen = [], 0
     for r in counts:  # one row a partition

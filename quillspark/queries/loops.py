@@ -260,3 +260,63 @@ def changed_pages(spark, sf):
     pages = table(spark, sf, "benchmark").select(F.col("item_id").alias("page_id"), "text")
     state = pages.where("page_id % 7 <> 0").select("page_id", F.sha2("text", 256).alias("sha256"))
     return catalogs.changed(state, pages)
+
+
+# --- manifests, seeded documents, climb findings -------------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id % 8 = 0 UNION ALL SELECT 'x' || item_id FROM benchmark")
+def manifest_gaps(spark, sf):
+    """Ids that only one of cases and splits has."""
+    d = documents(spark, sf, "doc_id")
+    cases = d.select(F.col("doc_id").cast("string").alias("id"))
+    splits = d.where("doc_id % 8 <> 0").select(F.col("doc_id").cast("string").alias("id"), F.lit("tune").alias("split")).unionByName(table(spark, sf, "benchmark").select(F.format_string("x%d", "item_id").alias("id"), F.lit("holdout").alias("split")))
+    return grading.split_manifest(cases, splits)[1]
+
+
+@query("SELECT source AS slug, lang AS category FROM documents GROUP BY ALL HAVING count(*) < 3")
+def seeded_problems(spark, sf):
+    """Expected (source, language) rows that too few documents show."""
+    d = documents(spark, sf, "source", "lang").select(F.col("source").alias("slug"), F.col("lang").alias("category"))
+    seen = d.groupBy("slug", "category").count().where("count >= 3").drop("count")
+    return grading.seeded_problems(d.distinct(), seen)
+
+
+@query(
+    """
+    SELECT doc_id::VARCHAR || CASE WHEN doc_id % 3 = 0 THEN '_' ELSE '' END AS slug, 'slug' AS problem FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id::VARCHAR || CASE WHEN doc_id % 3 = 0 THEN '_' ELSE '' END, 'hash' FROM documents WHERE doc_id % 4 = 0
+    """
+)
+def manifest_problems(spark, sf):
+    """Bundles with a bad slug or a hash that doesn't fit."""
+    d = documents(spark, sf, "doc_id", "text")
+    slug = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "_").otherwise(""))
+    digest = F.when(F.col("doc_id") % 4 == 0, "0").otherwise(F.sha2("text", 256))
+    return catalogs.manifest_problems(d.select(slug.alias("slug"), F.replace("text", F.lit("TODO"), F.lit("")).alias("redacted"), digest.alias("post_redaction_sha256")))
+
+
+@query()
+def climb_rounds(spark, sf):
+    """Violation counts of a climb round over all documents, newline paragraphs."""
+    from quillspark.operators import silhouette, structure
+    from quillspark.queries.base import seeded
+
+    docs = seeded(documents(spark, sf, "doc_id", "text"))
+    rows = silhouette.scan(structure.scan(docs, separator=chr(10)).drop("declined"), separator=chr(10)).drop("declined")
+    return loops.climb_violations(rows).groupBy("violation_count").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 'Cut -ing tails: ' || (doc_id % 7)::DOUBLE || ' of the sentences end on one.' AS directive FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'Vary sentence openers: only ' || (doc_id % 7)::DOUBLE || ' are distinct.' FROM documents WHERE doc_id % 2 = 1")
+def climb_directives(spark, sf):
+    """Directives joined to findings."""
+    d = documents(spark, sf, "doc_id").withColumn("metric", F.when(F.col("doc_id") % 2 == 0, "participial_closer_share").otherwise("opener_repetition")).withColumn("value", (F.col("doc_id") % 7).cast("double"))
+    return loops.climb_directives(d).select("doc_id", "directive")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS n FROM documents")
+def global_numbers(spark, sf):
+    """Place of each document by length, without a single-partition window."""
+    from quillspark.plans.ordering import numbered
+
+    return numbered(documents(spark, sf, "doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], "n").select("doc_id", "n")

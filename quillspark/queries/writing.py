@@ -317,3 +317,80 @@ def standalone_facts(spark, sf):
     """Facts of each document, and how many stand alone in it."""
     rows = seeded(documents(spark, sf, "doc_id", "text")).withColumn("c", facts.constraints(F.col("text")))
     return rows.select("doc_id", F.size("c").alias("facts"), F.size(F.array_distinct(F.col("c")["type"])).alias("types"))
+
+
+# --- classification results, ranking, replacement grades -----------------------------------------------------------
+
+
+@query(
+    f"""
+    WITH {_CAND}, r AS (SELECT doc_id % 300 AS key, quality AS q, doc_id AS pos FROM labels),
+    last AS (SELECT key, arg_max(q, pos) AS q FROM r GROUP BY key)
+    SELECT q.doc_id AS index, greatest(1, least(5, coalesce(last.q, greatest(1, least(5, 3 + CASE WHEN words BETWEEN 40 AND 220 THEN 1 ELSE 0 END - CASE WHEN q.doc_id % 9 = 0 THEN 2 ELSE 0 END - CASE WHEN q.doc_id % 13 = 0 THEN 1 ELSE 0 END)))))::INT AS quality
+    FROM q LEFT JOIN last ON last.key = q.doc_id
+    """
+)
+def merged_results(spark, sf):
+    """Candidates with the last classifier row of their id; labels stand for results."""
+    c = _candidates(spark, sf).select("index", F.col("doc_id").alias("id"), "words", "suspect_ai", "dictated")
+    none = F.array().cast("array<string>")
+    r = table(spark, sf, "labels").select((F.col("doc_id") % 300).cast("string").alias("key"), F.col("doc_id").alias("at"), none.alias("cells"), F.col("quality").cast("int").alias("quality"), F.lit("label").alias("why"))
+    return harvest.merge_results(c, r).select("index", "quality")
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 1577836800.0 WHEN conv_id % 3 = 1 THEN 12.5 ELSE 0.0 END AS recency FROM conversations")
+def candidate_recency(spark, sf):
+    """Recency from a date, else a file time, else 0."""
+    c = table(spark, sf, "conversations")
+    date = F.when(F.col("conv_id") % 3 == 0, "2020-01-01T00:00:00Z").when(F.col("conv_id") % 3 == 1, "no date")
+    return c.select("conv_id", "turn", harvest.recency(date, F.when(F.col("conv_id") % 3 == 1, F.lit(12.5))).alias("recency"))
+
+
+@query(
+    """
+    WITH c AS (SELECT conv_id, turn, conv_id % 4 = 0 AS suspect_ai, (conv_id * 7 % 50)::DOUBLE AS recency FROM conversations)
+    SELECT conv_id, turn FROM c ORDER BY suspect_ai, recency DESC, conv_id, turn LIMIT 200
+    """
+)
+def ranked_candidates(spark, sf):
+    """The first 200 candidates: a top-k report."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") % 4 == 0).alias("suspect_ai"), (F.col("conv_id") * 7 % 50).cast("double").alias("recency"), F.col("conv_id").alias("path"), F.col("turn").alias("line"))
+    return harvest.rank(c).select("conv_id", "turn")
+
+
+@query()
+def replacement_grades(spark, sf):
+    """Each carrier phrase replaced in its document: grades."""
+    from quillspark.operators import grading
+
+    docs = seeded(documents(spark, sf, "doc_id", "text"))
+    span = F.regexp_extract("text", "(in order to|studies show|let me be clear|it turns out)", 1)
+    rows = docs.select("doc_id", F.col("text").alias("context"), span.alias("span"), F.when(F.col("doc_id") % 2 == 0, "to").otherwise("delve into a robust realm of things").alias("replacement")).where("span <> ''")
+    return grading.grade_replacements(rows).groupBy("span_found", "scanners_ok", "constraints_preserved", "span_minimal", "passed").agg(F.count("*").alias("n"))
+
+
+@query()
+def replacements_in_context(spark, sf):
+    """Replacements that aren't clean alone or where they stand."""
+    docs = seeded(documents(spark, sf, "doc_id", "text"))
+    rows = docs.withColumn("start", F.lit(0)).withColumn("end", F.lit(1)).withColumn("suggested_replacement", F.when(F.col("doc_id") % 2 == 0, "A robust").otherwise("A"))
+    return suggest.in_context(rows).groupBy("failure").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, list_sort([source || '-a', lang || '-b'])[1] AS first, 2::INT AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def parsed_findings(spark, sf):
+    """Fenced replies parsed into findings."""
+    from quillspark.operators import grading
+
+    d = documents(spark, sf, "doc_id", "source", "lang").where("source is not null and lang is not null")
+    raw = F.format_string('```json\n[{"span": "%s-a"}, {"span": "%s-b"}, 7]\n```', "source", "lang")
+    rows = d.select("doc_id", grading.findings(raw).alias("f"))
+    return rows.select("doc_id", F.array_min(F.col("f")["span"]).alias("first"), F.size("f").alias("n"))
+
+
+@query()
+def precheck(spark, sf):
+    """Kinds of findings of both scanners, by number of documents."""
+    from quillspark.operators import catalogs
+
+    return catalogs.precheck(seeded(documents(spark, sf, "doc_id", "text"))).groupBy("source", "kind").agg(F.count("*").alias("n"))
