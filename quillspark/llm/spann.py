@@ -246,7 +246,7 @@ def search(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     square = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     top = rows.agg(F.max(square).alias("t")).first()["t"]
     share = min(1.0, 1.05 * sample_rows / n)
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("id", "vec").limit(2 * sample_rows).toArrow().sort_by("id").slice(0, sample_rows)
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**40)) < int(share * 2**40) + 1).select("id", "vec").limit(2 * sample_rows).toArrow().sort_by("id").slice(0, sample_rows)
     ids = picked["id"].to_numpy()
     sample = matrix(picked["vec"].combine_chunks())
     _, once = np.unique(ids, return_index=True)
