@@ -204,7 +204,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def accepted(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Rows of ``docs``, all columns, whose language is known with at least ``least_score``; the model is trained on their own labels."""
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **options)
     others = [c for c in docs.columns if c != text_col]
