@@ -76,7 +76,7 @@ def analyze(pairs: DataFrame, group: str, seed: int = 7) -> DataFrame:
     """M1-M4 per group (few pairs each, by nature of the test): ``n, mean_delta, ci_low, ci_high, p_value, improved``."""
     kind = dict(pairs.dtypes)[group]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sample = sorted(rows["delta"].tolist())
         low, high = bca(sample, seed)
         p = sign_flip(sample, seed)

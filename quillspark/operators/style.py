@@ -327,7 +327,7 @@ def gi_seeded(own: DataFrame, impostors: DataFrame, seed: int = 1, trials: int =
     """A16 as 64 seeded trials; one small group (a profile's impostors) per task.  ``profile, candidate, gi``."""
     names = list(WEIGHTS)
 
-    def run(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         by = {c: dict(zip(g["feature"], g["distance"], strict=True)) for c, g in others.groupby("candidate", sort=True)}
         out = []
         for c, g in mine.groupby("candidate", sort=True):
