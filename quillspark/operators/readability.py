@@ -84,20 +84,14 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _frequencies(content: Column) -> Column:
-    """(word, n, first place) of each distinct word: sorted once, then folded."""
+    """(word, n, first place) of each distinct word: one sort, then the places where a new word starts; linear beside the sort."""
     placed = F.array_sort(F.transform(content, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
-    start = F.array().cast("array<struct<word:string,n:int,at:int>>")
-    kind = "struct<word:string,n:int,at:int>"
-    state = F.struct(F.lit(None).cast(kind).alias("open"), start.alias("done"))
-
-    def step(a, x):
-        same = F.coalesce(a["open"]["word"] == x["word"], F.lit(False))
-        fresh = F.struct(x["word"].alias("word"), F.lit(1).alias("n"), x["at"].alias("at"))
-        grown = F.struct(a["open"]["word"].alias("word"), (a["open"]["n"] + 1).alias("n"), a["open"]["at"].alias("at"))
-        closed = F.when(same | a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-        return F.struct(F.when(same, grown).otherwise(fresh).cast(kind).alias("open"), closed.alias("done"))
-
-    return F.aggregate(placed, state, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+
+    def runs(p: Column) -> Column:
+        firsts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x["word"] != F.get(p, i - 1)["word"]), i)), lambda i: i.isNotNull())
+        return numbers.let(firsts, lambda f: F.transform(f, lambda s, k: F.struct(F.get(p, s)["word"].alias("word"), (F.coalesce(F.get(f, k + 1), F.size(p)) - s).alias("n"), F.get(p, s)["at"].alias("at"))))
+
+    return numbers.let(placed, runs)
 
 
 def _longest_tiny(units: Column) -> Column:
