@@ -11,12 +11,16 @@ follows from its number by arithmetic and a look-up in a table of that size.
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salt_count, salt_of, saved
 
-MAX_SOURCES = 1000
+MAX_SOURCES = 1000  # as far as the frame is scheduled in DataFrame functions; its cost is sources times slots
 
 
 def source_shares(sizes: DataFrame, weights: dict[str, float] | float = 0.9, frame: int = 1000) -> DataFrame:
@@ -34,7 +38,7 @@ def source_shares(sizes: DataFrame, weights: dict[str, float] | float = 0.9, fra
         weight = F.coalesce(known[F.col("source")], F.lit(float(min(weights.values()))))
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(weights)))
-    everyone = Window.partitionBy()  # over MAX_SOURCES rows at most
+    everyone = Window.partitionBy()  # one row a source
     ranked = sizes.select("source", "n", weight.cast("double").alias("w"))
     ranked = ranked.withColumn("idx", F.row_number().over(everyone.orderBy(F.asc_nulls_first("source"))) - 1).withColumn("m", F.count("*").over(everyone))
     # one slot each comes first, the rest goes by weight
@@ -64,6 +68,24 @@ def frame_schedule(shares: DataFrame, frame: int = 1000) -> DataFrame:
     return order.select("idx", (nth - 1).alias("j"), "slot_in_frame")
 
 
+def long_schedule(shares: DataFrame, frame: int) -> DataFrame:
+    """The same table by two heaps on the driver, for many sources: frame * log(sources) steps."""
+    listed = shares.select("idx", "share").toArrow().sort_by("idx")
+    idx, share = listed["idx"].to_pylist(), listed["share"].to_pylist()
+    done, released, waiting = [0] * len(share), [], [(0, i) for i in range(len(share))]
+    picked, nth = np.empty(frame, np.int32), np.empty(frame, np.int32)
+    for t in range(frame):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(released, (-(-(done[i] + 1) * frame // share[i]), i))
+        i = heapq.heappop(released)[1]
+        picked[t], nth[t] = idx[i], done[i]
+        done[i] += 1
+        if done[i] < share[i]:
+            heapq.heappush(waiting, (done[i] * frame // share[i], i))
+    return shares.sparkSession.createDataFrame(pa.table({"idx": picked, "j": nth, "slot_in_frame": np.arange(frame, dtype=np.int32)}))
+
+
 def key_of(source: str):
     """The source as a join key that is never null."""
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
@@ -77,22 +99,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
     block_docs + place in the block) and ``in_mix``.  The mix holds its target
     weights up to the first slot in which a source with at least ``stop_share``
     of the frame has nothing left; rows before it are ``in_mix``.  Later
-    rows are still placed by the same rule, so none is lost.
+    rows are still placed by the same rule, so none is lost.  If no source has
+    such a share, nothing ends the mix and every row is ``in_mix``.
 
     Within a source rows go by the MD5 of their id, a shuffle that is the same
     each time.  Null sources are one source.  Repeated rows get different
-    places.  At most ``MAX_SOURCES`` sources are allowed (else ValueError).
-    Other columns pass through unread.  An empty table gives an empty result.
+    places.  For more than ``MAX_SOURCES`` sources or more than ``frame``, the
+    frame becomes the next multiple that has two slots or more a source.  Other columns pass through unread.  An empty table gives an empty result.
     """
     sizes = saved(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")), rows=0)
     totals = sizes.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     if totals["m"] > min(MAX_SOURCES, frame):
-        raise ValueError(f"{totals['m']} sources; at most {min(MAX_SOURCES, frame)} are allowed")
+        frame *= -(-2 * totals["m"] // frame)
     shares = saved(source_shares(sizes, weights, frame), rows=0)
-    plan = saved(frame_schedule(shares, frame), rows=frame)
+    schedule = frame_schedule if totals["m"] <= MAX_SOURCES else long_schedule
+    plan = saved(schedule(shares, frame), rows=frame)
     ends = shares.where(F.col("share") >= stop_share * frame).withColumn("blocks", F.ceil(F.col("n") / block_docs))
     ends = ends.withColumn("j", (F.col("blocks") % F.col("share")).cast("int")).join(F.broadcast(plan), ["idx", "j"])
-    horizon = ends.agg(F.min(F.floor(F.col("blocks") / F.col("share")) * frame + F.col("slot_in_frame")).alias("h")).first()["h"] or 0
+    horizon = ends.agg(F.min(F.floor(F.col("blocks") / F.col("share")) * frame + F.col("slot_in_frame")).alias("h")).first()["h"]
 
     salts = salt_count(totals["n"])
     cols = docs.columns
@@ -115,7 +139,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
         (before + F.ceil((F.col("j") + 1) * frame / F.col("share"))).cast("long").alias("deadline"),
         slot.cast("long").alias("slot"),
         (slot * block_docs + F.col("source_row") % block_docs).cast("long").alias("position"),
-        (slot < F.lit(horizon)).alias("in_mix"),
+        (F.lit(True) if horizon is None else slot < F.lit(horizon)).alias("in_mix"),
         F.col("share").alias("share"),
     )
     return rows.select("row", mixed.alias("mix"))
