@@ -146,7 +146,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in the mix, in its order (range-partitioned and sorted), same columns."""
-    placed = mix(docs, **options).where("mix.in_mix")
+    """All rows of ``docs`` in the order of the mix (range-partitioned and sorted), same columns.
+
+    The mix holds its weights up to its end; what larger sources have left
+    follows by the same rule, so no row is lost.
+    """
+    placed = mix(docs, **options)
     ordered = placed.withColumn("at", F.col("mix.position")).repartitionByRange("at").sortWithinPartitions("at")
     return ordered.select("row.*")

@@ -32,3 +32,10 @@ def test_mixing_long_schedule(spark):
         got = f(table, 50).orderBy("slot_in_frame").collect()
         assert [r["idx"] for r in got] == brute.pfair(shares, 50)
         assert all(r["j"] == [x["idx"] for x in got[:t]].count(r["idx"]) for t, r in enumerate(got))
+
+
+def test_mixed_documents_keep_the_hot_source(spark):
+    docs = _sources(spark, [300] + [30] * 20)
+    rows = mixing.mix(docs).select("row.doc_id", "mix.position", "mix.in_mix").orderBy("position").collect()
+    assert not all(r["in_mix"] for r in rows)  # the hot source goes on when the others have ended
+    assert [r["doc_id"] for r in mixing.mixed_documents(docs).collect()] == [r["doc_id"] for r in rows]
