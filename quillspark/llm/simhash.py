@@ -113,7 +113,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), rows=n)
     links = saved(near_links(prints, radius, rows=n), rows=7 * n)
     m = links.count()
-    labels = saved(connected_components(links, rows=m), rows=2 * m)
+    return named_rows(rows, prints, saved(connected_components(links, rows=m), rows=2 * m), n)
+
+
+def named_rows(rows: DataFrame, prints: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """``rows`` (id, fp) with the smallest id of their component; ``prints``: fp, least, n; ``labels``: node, component."""
     named = prints.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = saved(named, rows=n)
     ids = named.groupBy("component").agg(F.min("least").alias("smallest"))
@@ -126,7 +130,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of rows that repeat this very id, one stays.  Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    return keep_found(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def keep_found(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """What ``keep_one`` keeps, given ``found`` with ``id`` and ``component``."""
     keep = saved(found.where("id = component").select(F.col("id").alias(id_col)).distinct(), rows=found.count())
     kept = docs.join(keep.hint("merge"), id_col, "left_semi")  # alike at every size: never a broadcast of ids
     again = kept.groupBy(id_col).count().where("count > 1").limit(1).count()

@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing
+import corpus_pipeline
+from quillspark.llm import jaccard, mixing
 
 from . import brute
 
@@ -39,3 +41,28 @@ def test_mixed_documents_keep_the_hot_source(spark):
     rows = mixing.mix(docs).select("row.doc_id", "mix.position", "mix.in_mix").orderBy("position").collect()
     assert not all(r["in_mix"] for r in rows)  # the hot source goes on when the others have ended
     assert [r["doc_id"] for r in mixing.mixed_documents(docs).collect()] == [r["doc_id"] for r in rows]
+
+
+def _grams(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_dedup_by_exact_similarity(spark, sf):
+    rng, texts = np.random.default_rng(3), []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.integers(0, 120, rng.integers(1, 6)):
+                copy[at] = "other"
+            texts.append(" ".join(copy))
+    sets = [_grams(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = brute.components(set(range(len(texts))), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in jaccard.near_copies(docs).collect()}
+    assert got == {i: want[i] for i in got} and len(got) == len(texts)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert kept == set(want.values()) and 40 <= len(kept) < 160
