@@ -38,44 +38,44 @@ class Rule:
 
 # Category and severity, then the literal phrases, separated by bars.
 PHRASES = """
-throat_clearing hard: here's the thing:|the uncomfortable truth is|it turns out|let me be clear|the truth is|let's be real|here's the deal|it should be noted that|it's no secret that|here's why|let's dive in|let's unpack|let's explore|let's take a look
-emphasis_crutch hard: let that sink in|this matters because|make no mistake|read that again|this cannot be overstated
+throat_clearing hard: here's the thing:|the uncomfortable truth is|it turns out|let me be clear|the truth is|let's be real|here's the deal|it should be noted that|it's no secret that|here's why|let's dive in|let's unpack|let's explore|let's take a look|i'll say it again|i'm going to be honest|can we talk about|here's what i find interesting|here's the problem though|here's what nobody tells you|let's break this down|let's examine|this is where it gets interesting
+emphasis_crutch hard: let that sink in|this matters because|make no mistake|read that again|this cannot be overstated|here's why that matters|this is important
 conclusion_scaffold hard: in conclusion|warrants further
-conclusion_scaffold soft: in summary|to summarize|firstly|secondly|thirdly|ultimately,|taken together,
-significance_inflation hard: underscores the importance|enduring legacy|in the realm of|testament to|pivotal moment|rich tapestry|cornerstone of|groundbreaking|transformative|speaks volumes|a testament to|raises the bar
-significance_inflation soft: highlights the importance|lasting impact|watershed moment|holds promise|shed new light|seminal
-vague_attribution hard: experts argue|some critics|many believe|it is widely regarded|observers note|studies show|research suggests
-vague_attribution soft: has been described as|is widely regarded as|a growing body of
-generic_conclusion hard: the future looks bright|only time will tell|one thing is certain|continues to evolve|remains to be seen
-ai_vocabulary hard: treasure trove|ever-evolving|ever-changing|interplay|intricate|tapestry of|paramount|pertaining to|aforementioned|henceforth|whereby|therein|burgeoning|meticulous|meticulously|resonate with|at the intersection of|double-edged sword|sheds light on
+conclusion_scaffold soft: in summary|to summarize|firstly|secondly|thirdly|ultimately,|taken together,|future prospects|future outlook
+significance_inflation hard: underscores the importance|enduring legacy|in the realm of|testament to|pivotal moment|rich tapestry|cornerstone of|groundbreaking|transformative|speaks volumes|a testament to|raises the bar|underscore the importance|underscoring the importance|rich mosaic|leaves a lasting impact|lasting legacy|holds great promise|stands as a testament|indelible mark|a legacy of|trailblazing|sends a clear message|the fabric of
+significance_inflation soft: highlights the importance|lasting impact|watershed moment|holds promise|shed new light|seminal|mosaic of|new avenues|garnered significant attention|garnered considerable attention|rich history
+vague_attribution hard: experts argue|some critics|many believe|it is widely regarded|observers note|studies show|research suggests|analysts predict|industry reports suggest|according to experts
+vague_attribution soft: has been described as|is widely regarded as|a growing body of|some critics argue|observers have noted|to the best of our knowledge
+generic_conclusion hard: the future looks bright|only time will tell|one thing is certain|continues to evolve|remains to be seen|what remains clear is|exciting times lie ahead|continues to shape|poised for growth
+ai_vocabulary hard: treasure trove|ever-evolving|ever-changing|interplay|intricate|tapestry of|paramount|pertaining to|aforementioned|henceforth|whereby|therein|burgeoning|meticulous|meticulously|resonate with|at the intersection of|double-edged sword|sheds light on|resonates with|a deep understanding|strikes a balance|paints a picture
 ai_vocabulary soft: myriad|plethora|encompass|moreover|furthermore|nevertheless|ubiquitous|nuanced|emphasizing|enduring|vibrant
-false_agency hard: speak for themselves|speaks for itself|paints a clear picture
-promotional hard: rich cultural heritage|nestled|breathtaking|must-visit|in the heart of|world-class|state-of-the-art|second to none|bustling|at the forefront of
-promotional soft: picturesque|iconic
+false_agency hard: speak for themselves|speaks for itself|paints a clear picture|tells a clear story
+promotional hard: rich cultural heritage|nestled|breathtaking|must-visit|in the heart of|world-class|state-of-the-art|second to none|bustling|at the forefront of|a hidden gem|renowned for|a beacon of
+promotional soft: picturesque|iconic|stunning natural beauty
 editorializing hard: would be complete without
-assistant_artifact hard: as an ai language model|as an ai assistant
-academic_excess soft: elucidate|delineate|underpin|unveil|seamless|invaluable|noteworthy
+assistant_artifact hard: as an ai language model|as an ai assistant|as of my last knowledge update
+academic_excess soft: elucidate|delineate|underpin|unveil|seamless|invaluable|noteworthy|revolutionize|revolutionizing
 filler_opener soft: in recent years|with the advent of
-jargon hard: game-changer|deep dive|moving forward|circle back|low-hanging fruit|actionable|thought leader|best-in-class|cutting-edge|delve into|utilize|facilitate|multifaceted|align with
+jargon hard: game-changer|deep dive|moving forward|circle back|low-hanging fruit|actionable|thought leader|best-in-class|cutting-edge|delve into|utilize|facilitate|multifaceted|align with|game changer|take a step back|on the same page|level up|synergy|touch base|value-add|delve deeper|spearhead|navigating the complexities
 jargon soft: bandwidth|pivot|disrupt|scalable|ecosystem|robust|comprehensive|streamline|enhance
-filler hard: at its core|in today's|at the end of the day|when it comes to|in a world where|the reality is|with that said|needless to say|in order to|due to the fact that|the bottom line|it's worth mentioning|a closer look
-meta hard: plot twist:|spoiler alert|let me explain|to put it simply|in other words|pro tip|hot take
-performative hard: i promise|trust me|believe me|the elephant in the room|it begs the question|food for thought|buckle up
+filler hard: at its core|in today's|at the end of the day|when it comes to|in a world where|the reality is|with that said|needless to say|in order to|due to the fact that|the bottom line|it's worth mentioning|a closer look|interestingly,|importantly,|crucially,|that being said|all things considered|by and large|for the most part|to be fair|to be honest|it goes without saying|at this point in time|in the event that|the key takeaway|it's clear that|what's clear is|in an era of
+meta hard: plot twist:|spoiler alert|let me explain|to put it simply|in other words|pro tip|hot take|hint:|spoiler:|you already know this, but|but that's another post|is a feature, not a bug|dressed up as|if you think about it|unpopular opinion
+performative hard: i promise|trust me|believe me|the elephant in the room|it begs the question|food for thought|buckle up|creeps in|they exist, i promise|this is genuinely|actually looks like|it's a no-brainer|the million-dollar question
 copula_avoidance hard: constitutes a|functions as a|operates as a
 copula_avoidance soft: represents a
-communication_artifact hard: i hope this helps|certainly!|great question|happy to help|i'd be happy to|i assure you
-knowledge_cutoff hard: as of my last|based on my training data
-reader_steering hard: here's what's interesting|here's what stood out
-vague_endorsement soft: worth reading|worth exploring|worth your time
-reasoning_chain hard: let me think step by step|here's my thought process
+communication_artifact hard: i hope this helps|certainly!|great question|happy to help|i'd be happy to|i assure you|that's a great point|let me know if you need anything else|i am happy to address|i am open to any suggestions|i am open to feedback|i would appreciate any feedback|i am willing to address|demonstrate my commitment|with the utmost care|if you have any concerns or suggestions
+knowledge_cutoff hard: as of my last|based on my training data|as of my knowledge cutoff|based on available information
+reader_steering hard: here's what's interesting|here's what stood out|here's what caught my eye
+vague_endorsement soft: worth reading|worth exploring|worth your time|worth paying attention to|worth a look|worth checking out
+reasoning_chain hard: let me think step by step|here's my thought process|to approach this systematically|working through this logically
 reasoning_chain soft: breaking this down
 acknowledgment_loop hard: you're asking about|to answer your question
 acknowledgment_loop soft: the question of whether
-novelty_inflation hard: a problem nobody talks about|what nobody tells you about
-novelty_inflation soft: coined the phrase
+novelty_inflation hard: a problem nobody talks about|what nobody tells you about|a concept nobody's naming|the insight everyone's missing
+novelty_inflation soft: coined the phrase|introduced a term
 rhetorical_question hard: why should you care
-rhetorical_question soft: what's next?
-numbered_list_inflation soft: three key takeaways
+rhetorical_question soft: what's next?|what does this mean for
+numbered_list_inflation soft: three key takeaways|five things to know|top seven
 """
 
 # Which rule pack a category belongs to.
