@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import jaccard, mixing
+from quillspark.llm import crosspoly, jaccard, mixing
 
 from . import brute
 
@@ -66,3 +66,17 @@ def test_near_dedup_by_exact_similarity(spark, sf):
     assert got == {i: want[i] for i in got} and len(got) == len(texts)
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
     assert kept == set(want.values()) and 40 <= len(kept) < 160
+
+
+@pytest.mark.parametrize("rows", [1000, 10**7, 10**9])
+def test_embedding_pairs_at_the_threshold_share_a_bucket(rows):
+    tables, hashes = crosspoly.table_plan(rows, 64, 0.9)
+    assert hashes == {1000: 3, 10**7: 4, 10**9: 5}[rows]
+    rng = np.random.default_rng(8)
+    x, z = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (crosspoly.codes(v, tables, hashes) for v in (x, y))
+    missed = ~(a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3))
+    assert missed.mean() <= 0.003 + 3 * np.sqrt(0.003 / 4000)
