@@ -106,26 +106,30 @@ def _list(items) -> str:
 
 
 def _license_sql() -> str:
-    """Places by comparing words one by one; matches by counting template tokens in every window."""
-    stride = max(len(licenses.tokens(t)) for _, t in licenses.TEMPLATES)
+    """Places by comparing words one by one; matches by counting template words between a word and as many further on as the template has."""
     starts = []
     for label, phrase in licenses.PHRASES:
         same = " AND ".join(f"w[i + {k}] = {_text(x)}" for k, x in enumerate(licenses.tokens(phrase), 1))
         starts.append(f"list_transform(list_filter(range(0, len(w)), lambda i: {same}), lambda i: {{'label': {_text(label)}, 'at': i}})")
-    found = []
-    for label, t in licenses.TEMPLATES:
-        own = list(dict.fromkeys(licenses.tokens(t)))
-        found.append(f"list_transform(b, lambda x: {{'label': {_text(label)}, 'share': len(list_filter({_list(own)}, lambda y: list_contains(x, y))) / {len(own)}}})")
-    empty = "[]::STRUCT(label VARCHAR, share DOUBLE)[]"
+    rows = []
+    for k, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        own = licenses.tokens(text)
+        rows.append(f"({k}, {_text(label)}, {_list(dict.fromkeys(own))}, {_list(licenses.tokens(keys))}, {len(own)})")
     return f"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-    p AS (SELECT doc_id, w, flatten([{", ".join(starts)}]) AS p, list_transform(range(0, len(w), {stride}), lambda i: w[i + 1:i + {2 * stride}]) AS b FROM d),
-    m AS (SELECT doc_id, w, p, CASE WHEN len(b) = 0 THEN {empty} ELSE list_filter(flatten([{", ".join(found)}]), lambda x: x.share >= 0.8 - 1e-9) END AS m FROM p)
-    SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
+    p AS (SELECT doc_id, w, flatten([{", ".join(starts)}]) AS p FROM d),
+    t(template, label, own, keys, wide) AS (VALUES {", ".join(rows)}),
+    u AS (SELECT template, label, wide, len(own) AS size, unnest(own) AS word FROM t),
+    s AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d),
+    h AS (SELECT s.doc_id, s.at, s.word, u.template, u.label, u.wide, u.size FROM s JOIN u USING (word)),
+    b AS (SELECT x.doc_id, x.at, x.template, any_value(x.label) AS label, count(DISTINCT y.word) / any_value(x.size) AS share, list(DISTINCT y.word) AS inside
+      FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.template = y.template AND y.at >= x.at AND y.at < x.at + x.wide GROUP BY x.doc_id, x.at, x.template),
+    m AS (SELECT doc_id, list(DISTINCT b.label) AS labels, max(share) AS share FROM b JOIN t USING (template) WHERE share >= 0.8 - 1e-9 AND list_has_all(inside, keys) GROUP BY doc_id)
+    SELECT p.doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
       array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
-      array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), list_transform(m, lambda x: x.label)))), ',') AS labels,
-      CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(list_max(list_transform(m, lambda x: x.share)), 0.0) END AS score
-    FROM m
+      array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(m.labels, []::VARCHAR[])))), ',') AS labels,
+      CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+    FROM p LEFT JOIN m ON p.doc_id = m.doc_id
     """
 
 

@@ -118,15 +118,17 @@ def license_places(text, phrases):
     return sorted(out)
 
 
-def license_matches(text, templates, threshold, tokens):
-    ws, stride = license_words(text), max(len(tokens(t)) for _, t in templates)
-    out = []
-    for at in range(0, len(ws), stride):
-        block = set(ws[at : at + 2 * stride])
-        for k, (label, t) in enumerate(templates):
-            own = set(tokens(t))
-            if len(own & block) / len(own) >= threshold - 1e-9:
-                out.append((label, k, at))
+def license_matches(text, templates, threshold):
+    """(label, template, word, containment) of every block of a template's length, from its definition; of overlapping ones those that none beats."""
+    ws, out = license_words(text), []
+    for k, (label, t, keys) in enumerate(templates):
+        own, wide = set(license_words(t)), len(license_words(t))
+        found = []
+        for at in range(len(ws)):
+            block = set(ws[at : at + wide])
+            if ws[at] in own and set(license_words(keys)) <= block and len(own & block) / len(own) >= threshold - 1e-9:
+                found.append((at, len(own & block) / len(own)))
+        out += [(label, k, a, c) for a, c in found if not any(abs(a - b) < wide and (d > c or (d == c and b < a)) for b, d in found)]
     return sorted(out)
 
 

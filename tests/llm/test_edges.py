@@ -160,7 +160,51 @@ def test_licenses(odd):
         t = text[r["id"]]
         assert r["n_words"] == len(brute.license_words(t))
         assert sorted((p["label"], p["word"]) for p in r["places"]) == brute.license_places(t, licenses.PHRASES)
-        assert sorted((m["label"], m["template"], m["word"]) for m in r["matches"]) == brute.license_matches(t, licenses.TEMPLATES, 0.8, licenses.tokens)
+        assert sorted((m["label"], m["template"], m["word"], m["containment"]) for m in r["matches"]) == brute.license_matches(t, licenses.TEMPLATES, 0.8)
+
+
+def test_license_labels(spark):
+    """Each text with the labels that a reader would give it."""
+    texts = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc"},
+        "All of it is licensed under CC BY SA 4.0": {"cc-by-sa"},
+        "Licensed under CC BY 4.0.": set(),
+        "Licensed under CC BY-NC-SA 4.0.": {"cc-by-nc", "cc-by-sa"},
+        "released under the old license": set(),
+        "It is released under the MIT license.": {"mit"},
+        "licensed under the Apache License, Version 2.0": {"apache"},
+        "licensed under the old license version 2.0": set(),
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl"},
+        "this work is licensed under the general public transport license version 3": set(),
+        "gnu " + "word " * 40 + "this work is licensed under the general public license version 3": set(),
+        "Redistribution and use in source or binary forms, with or without modification, are permitted provided that the following terms are met": {"bsd"},
+        "words in any order under license mit the released": {"mit"},
+        "the of and " * 2000: set(),
+        "released under the mit license " * 500: {"mit"},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r["id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, (text, labels) in enumerate(texts.items()):
+        assert {m["label"] for m in rows[i]["matches"]} == labels, text
+        assert sorted(map(tuple, rows[i]["matches"])) == brute.license_matches(text, licenses.TEMPLATES, 0.8)
+    bare = licenses.scan_licenses(docs, templates=(), phrases=()).collect()
+    assert all(not r["matches"] and not r["places"] for r in bare) and len(bare) == len(texts)
+
+
+def test_license_candidates_lose_nothing(spark):
+    """Random texts of template words, so that blocks lie close to the threshold."""
+    rng = random.Random(11)
+    words = sorted({w for _, t, _ in licenses.TEMPLATES[:4] for w in licenses.tokens(t)}) + ["other", "plain"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(120)]
+    for label, t, _ in licenses.TEMPLATES[:4] * 20:
+        part = [w if rng.random() < 0.85 else rng.choice(words) for w in licenses.tokens(t)]
+        texts.append(" ".join([rng.choice(words) for _ in range(5)] + part + [rng.choice(words) for _ in range(5)]))
+    some = tuple((label, t, "license" if label == "gpl" else "") for label, t, _ in licenses.TEMPLATES[:4])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["id"]: sorted(map(tuple, r["matches"])) for r in licenses.scan_licenses(docs, templates=some, threshold=0.7).collect()}
+    want = {i: brute.license_matches(t, some, 0.7) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum(map(bool, want.values())) > 40
 
 
 def test_tokens(odd):
