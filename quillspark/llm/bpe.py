@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,29 +129,20 @@ def loaded(path: str) -> Bpe:
 
 
 class Cache(dict):
-    """Word -> result, worked out when first asked for; emptied when it holds ``limit`` words (results don't depend on it)."""
+    """Word -> result, worked out when first asked for; emptied when it holds ``limit`` words, and without words of over ``longest`` characters (results don't depend on either)."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+    def __init__(self, make, limit: int, longest: int = 64):
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, word: str):
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = self.make(word)
+        out = self.make(word)
+        if len(word) <= self.longest:
+            self[word] = out
         return out
 
 
-class Table(dict):
-    """The distinct-word table; other words are looked up in a cache."""
-
-    def __init__(self, words: pa.Table, rest: Cache):
-        super().__init__(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
-        self.rest = rest
-
-    def __missing__(self, word: str):
-        return self.rest[word]
-
-
 _caches: dict[tuple, dict] = {}
 
 
@@ -186,121 +177,217 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(_counting(path, cache_words), f"id {kind}, n_bytes long, n_tokens long")
 
 
-def _word_counts(path: str, flush: int, longest: int):
+class Numbers(dict):
+    """Word -> its number in the block, in order of first use."""
+
+    size = 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.size += len(word)
+        return n
+
+
+_SPLIT = ["block", "ids", "sizes", "places", "first", "words"]
+
+
+def _splitting(path: str, most_words: int, most_text: int, chunk: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = loaded(path), Counter()
+        bpe = loaded(path)
+        block = TaskContext.get().partitionId() << 32
+        numbers, read, ids, places, n = Numbers(), 0, [], [], 0
+
+        def row(*columns) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([block]), *columns], _SPLIT)
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            if ids:
+                rows = pa.concat_arrays(ids)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                packed = [pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (np.array(list(map(len, places)), np.int32), np.concatenate(places))]
+                yield row(listed, *packed, pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())))
+
+        def dictionary(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for i in range(0, len(words), 20_000):
+                yield row(pa.nulls(1, pa.list_(kind)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([words[i : i + 20_000]]))
+
+        kind = None
         for batch in small_batches(batches):
-            for text in _texts(batch.column(0)):
-                for special, s in bpe.sections(text):
-                    if not special:
-                        seen.update(bpe.words(s))
-                if len(seen) >= flush:
-                    yield from _counted(seen, longest)
-                    seen = Counter()
-        yield from _counted(seen, longest)
+            kind = batch.schema.types[0]
+            for text in _texts(batch.column(1)):
+                words = [w for special, s in bpe.sections(text) for w in ([s] if special else bpe.words(s))]
+                places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                n, read = n + len(words), read + len(text)
+            ids.append(batch.column(0))
+            full = len(numbers) >= most_words or numbers.size >= most_text or read >= most_text
+            if n >= chunk or full:
+                yield from texts()
+                ids, places, n = [], [], 0
+            if full:
+                yield from dictionary(kind)
+                numbers, read, block = Numbers(), 0, block + 1
+        if kind is not None:
+            yield from texts()
+            yield from dictionary(kind)
 
     return run
 
 
-def _counted(seen: Counter, longest: int) -> Iterator[pa.RecordBatch]:
-    short = [(w, n) for w, n in seen.items() if len(w) <= longest]
-    for i in range(0, len(short), 50_000):
-        w, n = zip(*short[i : i + 50_000], strict=True)
-        yield pa.record_batch([pa.array(w, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+def split_words(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 400_000, most_text: int = 1 << 24) -> DataFrame:
+    """Texts as numbered words, in blocks; two kinds of rows, both with ``block``.
+
+    ``ids, sizes, places``: some texts of the block, each one's number of words,
+    and the words' numbers in order (both packed).  ``first, words``: words of
+    the block, each once, the first of them with number ``first``.  A block
+    ends with its task, or at ``most_words`` words or ``most_text`` characters.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_splitting(path, most_words, most_text), f"block long, ids array<{kind}>, sizes binary, places binary, first int, words array<string>")
+
 
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
 
-def _encode_words(path: str):
+
+def _encoding(path: str, many: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe, last = loaded(path), (None, b"")
+        special = {s: i.to_bytes(4, "little") for s, i in bpe.special.items()}
+        blocks, numbers, coded = [], [], []
+
+        def by_block() -> Iterator[pa.RecordBatch]:
+            block, number, ids = np.concatenate(blocks), np.concatenate(numbers), pa.concat_arrays(coded)
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
+            ids = ids.take(pa.array(order))
+            sizes, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
+            inside = np.add.reduceat(sizes, cuts[:-1])
+            yield pa.record_batch([pa.array(block[order][cuts[:-1]]), _lists(number[order], np.diff(cuts)), _lists(sizes, np.diff(cuts)), _lists(flat, inside)], ["block", "numbers", "sizes", "ids"])
+
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([bpe.encode_word(w.as_py()) for w in batch.column(0)], pa.binary())], ["word", "ids"])
+            words = batch.column(2).dictionary_encode()
+            found = []
+            for word in words.dictionary.to_pylist():  # in order; a word goes on in the next batch at most once
+                if word != last[0]:
+                    last = (word, special.get(word) or bpe.encode_word(word))
+                found.append(last[1])
+            table = _lists(np.frombuffer(b"".join(found), "<i4"), np.array(list(map(len, found))) // 4)
+            blocks.append(batch.column(0).to_numpy())
+            numbers.append(batch.column(1).to_numpy())
+            coded.append(table.take(words.indices))
+            if sum(map(len, numbers)) >= many:
+                yield from by_block()
+                blocks, numbers, coded = [], [], []
+        if blocks:
+            yield from by_block()
 
     return run
 
 
-def word_table(docs: DataFrame, path: str, text_col: str = "text", table_rows: int = 400_000, longest: int = 48) -> DataFrame:
-    """``word, ids``: each distinct word that occurs twice or more, encoded once.
+def encode_words(split: DataFrame, path: str) -> DataFrame:
+    """The distinct-word table over all blocks: each distinct word is encoded once.
 
-    At most ``table_rows`` words of at most ``longest`` characters, the most
-    frequent ones (by quarter powers of two of their counts), so the table's
-    size is bounded whatever the corpus.
+    All uses of a word (one a block) come together in one sort, the word is
+    encoded, and its ids go back to each block: ``block, numbers, sizes, ids``,
+    the words' numbers there, how many ids each has, and these.
     """
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts(path, 300_000, longest), "word string, n long")
-    counts = saved(found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("level", F.floor(F.log2("n") * 4).cast("int")))
-    least, rows = None, 0
-    for r in counts.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 256 rows at most
-        rows += r["n"]
-        if rows > table_rows:
-            break
-        least = r["level"]
-    chosen = counts.where(F.col("level") >= least) if least is not None else counts.limit(0)
-    return chosen.select("word").repartition("word").mapInArrow(_encode_words(path), "word string, ids binary")
-
-
-def _encoding(path: str, table, name: str, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, key = loaded(path), ("ids", path, name)
-        if key not in _caches:
-            for old in [k for k in _caches if k[0] == "ids"]:
-                del _caches[old]
-            with pa.ipc.open_stream(table.value) as stream:
-                _caches[key] = Table(stream.read_all(), Cache(bpe.encode_word, limit))
-        of = _caches[key].__getitem__
-        special = {s: i.to_bytes(4, "little") for s, i in bpe.special.items()}
-        for batch in small_batches(batches):
-            out = [b"".join(special[s] if is_special else b"".join(map(of, bpe.words(s))) for is_special, s in bpe.sections(text)) for text in _texts(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
+    uses = split.where("words is not null").select("block", "first", F.posexplode("words").alias("nth", "word"))
+    uses = uses.select("block", (F.col("first") + F.col("nth")).alias("number"), "word").repartition("word").sortWithinPartitions("word")
+    return uses.mapInArrow(_encoding(path), "block long, numbers array<int>, sizes array<int>, ids array<int>")
+
+
+@lru_cache(4)
+def pieces(path: str) -> pa.BinaryArray:
+    """The piece of each id, by id (unknown ids: empty)."""
+    table = loaded(path).pieces
+    return pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.binary())
+
+
+def _texts_of(ids: np.ndarray, sizes: np.ndarray, table: pa.BinaryArray) -> list[str]:
+    """Join ids with their pieces, and the pieces of each text (of so many ids) in order."""
+    joined = table.take(pa.array(ids))
+    at = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1]
+    cuts = at[np.r_[0, np.cumsum(sizes)]].tolist()
+    data = memoryview(joined.buffers()[2] or b"")
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _joining(path: str, with_text: bool):
+    names = ["id", "n_tokens", "ids", "text"][: 3 + with_text]
+
+    def run(split: pa.Table, words: pa.Table) -> pa.Table:
+        def whole(name: str) -> np.ndarray:
+            return words[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+        order = np.argsort(whole("numbers"))  # each number of the block stands there once
+        table, out = _lists(whole("ids"), whole("sizes")).take(pa.array(order)), []
+        known = pieces(path) if with_text else None
+        for r in range(split.num_rows):
+            ids, sizes, places = (split[c][r] for c in ("ids", "sizes", "places"))
+            sizes = np.frombuffer(pa.decompress(sizes.as_py(), 4 * len(ids), "zstd"), np.int32)
+            n = int(sizes.sum(dtype=np.int64))
+            found = table.take(pa.array(np.frombuffer(pa.decompress(places.as_py(), 4 * n, "zstd"), np.int32)))
+            cuts = found.offsets.to_numpy()[np.r_[0, np.cumsum(sizes)]]
+            flat, many = found.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.diff(cuts)
+            raw = memoryview(flat).cast("B")
+            packed = [bytes(raw[4 * a : 4 * b]) for a, b in zip((cuts[:-1] - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist(), strict=True)]
+            columns = [ids.values, pa.array(many.astype(np.int64)), pa.array(packed, pa.binary())]
+            if with_text:
+                columns.append(pa.array(_texts_of(flat, many, known), pa.string()))
+            out.append(pa.table(columns, names))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _shared_table(docs: DataFrame, path: str, text_col: str, table_rows: int):
-    """The distinct-word table as a broadcast, and a name for it."""
-    table = word_table(docs, path, text_col, table_rows).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as stream:
-        stream.write_table(table)
-    packed = sink.getvalue().to_pybytes()
-    return docs.sparkSession.sparkContext.broadcast(packed), hashlib.sha256(packed).hexdigest()
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, with_text: bool, **block) -> DataFrame:
+    split = saved(split_words(docs, path, id_col, text_col, **block))
+    texts = split.where("places is not null").select("block", "ids", "sizes", "places")
+    schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids binary" + ", text string" * with_text
+    return texts.groupBy("block").cogroup(encode_words(split, path).groupBy("block")).applyInArrow(_joining(path, with_text), schema)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **block) -> DataFrame:
     """``id, n_tokens, ids`` for each row; ``ids`` is packed little-endian unsigned 32-bit integers.
 
-    Words are counted over the whole corpus, the distinct-word table is encoded
-    once and sent to the workers (its size is bounded by ``table_rows``), and
-    each text's words are replaced by their ids in order.  Words that stand
-    once in the corpus, or beyond that bound, are encoded where they stand;
-    results are the same.  Null texts count as empty; special strings in a text
-    become their own id, as is the library's default.
+    Texts are split into words, each distinct word of the whole corpus is
+    encoded once, and its ids are joined back by position.  Words aren't
+    shuffled for every use, but once for each block of texts that uses them, so
+    neither a frequent word nor a long text makes a large group; no table of
+    words is held by the driver or sent to all workers.  Null texts count as
+    empty; special strings in a text become their own id, as is the library's
+    default.  Repeated rows give repeated results, null ids are ids like any
+    other, other columns aren't read; an empty table gives an empty result.
     """
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoding(path, *_shared_table(docs, path, text_col, table_rows), 50_000), f"id {kind}, n_tokens long, ids binary")
+    return _encoded(docs, path, id_col, text_col, False, **block)
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 400_000) -> DataFrame:
-    """``encode`` and ``decode`` in one worker: ``id, n_tokens, ids, text``; ids don't leave and enter Python again between them."""
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    to, back = _encoding(path, *_shared_table(docs, path, text_col, table_rows), 50_000), _decoding(path)
-    return rows.mapInArrow(lambda batches: back(to(batches)), f"id {kind}, n_tokens long, ids binary, text string")
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **block) -> DataFrame:
+    """``encode`` and ``decode`` in one step: ``id, n_tokens, ids, text``; ids don't leave and enter Python again between them."""
+    return _encoded(docs, path, id_col, text_col, True, **block)
 
 
 def _decoding(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        piece = [bpe.pieces.get(i, b"") for i in range(max(bpe.pieces) + 1)].__getitem__
+        table = pieces(path)
         for batch in small_batches(batches):
-            texts = [b"".join(map(piece, memoryview(x or b"").cast("I"))).decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
+            lists = [x or b"" for x in batch.column(2).to_pylist()]
+            ids = np.frombuffer(b"".join(lists), "<u4").astype(np.int64)
+            ids = np.where(ids < len(table), ids, -1)
+            ids = pa.array(ids, mask=ids < 0)
+            texts = _texts_of(ids, np.array(list(map(len, lists)), np.int64) // 4, table)
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add ``text`` to ``id, n_tokens, ids``: each id is joined with its piece (the vocabulary bounds that table), special ones kept.
+    """Add ``text`` to ``id, n_tokens, ids``: ids are joined with the table of pieces, special ones kept.
 
-    Null ids give the empty text.
+    The vocabulary bounds that table, so each worker has it, keyed by id, and
+    the join needs no shuffle.  Null ids give the empty text, unknown ones no
+    piece.
     """
     return encoded.select("id", "n_tokens", "ids").mapInArrow(_decoding(path), f"id {dict(encoded.dtypes)['id']}, n_tokens long, ids binary, text string")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,8 +92,14 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
     return rows.join(hot, key).unionByName(part.join(cold, key))
 
 
-def small_batches(batches, rows: int = 500):
-    """Slices of Arrow batches, so that a worker makes Python objects of few rows at a time."""
+def small_batches(batches, rows: int = 500, size: int = 1 << 23):
+    """Slices of Arrow batches of up to ``rows`` rows and (unless one row alone has more) ``size`` bytes of text, so that a worker makes Python objects of little at a time."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type)]
+        ends = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64)))
+        i = 0
+        while i < batch.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(i, j - i)
+            i = j

@@ -211,16 +211,41 @@ def test_tokens(odd):
     library, text = Tokenizer.from_file(PATH), {r[0]: r[1] for r in _rows()}
     for r in bpe.count_tokens(odd, PATH).collect():
         assert r["n_tokens"] == len(library.encode(text[r["id"]] or "", add_special_tokens=False).ids)
-    # a table of few words gives the same ids as none and as a whole one
-    seen = []
-    for many in (0, 5, 100_000):
-        encoded = bpe.encode(odd, PATH, table_rows=many)
-        rows = {r["id"]: r for r in bpe.decode(encoded, PATH).collect()}
-        seen.append({i: bytes(r["ids"]) for i, r in rows.items()})
-        for i, r in rows.items():
-            assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode(text[i] or "", add_special_tokens=False).ids
-            assert r["text"] == (text[i] or "")
-    assert seen[0] == seen[1] == seen[2]
+
+
+def test_encode_and_decode(odd, nothing):
+    library, want = Tokenizer.from_file(PATH), Counter()
+    for r in _rows():
+        want[(r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids), r[1] or "")] += 1
+    for block in ({}, {"most_words": 1}, {"most_text": 1}):  # whole tasks, and every batch a block of its own
+        got = Counter()
+        for r in bpe.encode_decode(odd, PATH, **block).collect():
+            ids = np.frombuffer(bytes(r["ids"]), "<u4")
+            assert r["n_tokens"] == len(ids)
+            got[(r["id"], tuple(ids.tolist()), r["text"])] += 1
+        assert got == want
+    rows = bpe.decode(bpe.encode(odd, PATH), PATH).collect()
+    assert Counter((r["id"], r["text"]) for r in rows) == Counter((r[0], r[1] or "") for r in _rows())
+    assert bpe.encode_decode(nothing, PATH).count() == 0
+    blank = odd.where("doc_id < 2")
+    assert {(r["id"], r["n_tokens"], r["text"]) for r in bpe.encode_decode(blank, PATH).collect()} == {(0, 0, ""), (1, 0, "")}
+
+
+def test_each_distinct_word_is_encoded_once(odd, spark):
+    split = bpe.split_words(odd, PATH, most_text=1)
+    uses = split.selectExpr("block", "explode(words) as word")
+    assert uses.groupBy("word").count().where("count > 1").count() > 0  # many blocks use a word
+    rows = bpe.encode_words(split, PATH).collect()
+    assert sum(len(r["numbers"]) for r in rows) == uses.count()
+    assert all(sum(r["sizes"]) == len(r["ids"]) and len(r["sizes"]) == len(r["numbers"]) for r in rows)
+
+
+def test_decode_of_any_ids(spark):
+    library = Tokenizer.from_file(PATH)
+    lists = [[220, 50256, 447], [447, 247], [], [999_999, 15496], None]
+    data = [(i, 0, None if x is None else np.array(x, "<u4").tobytes()) for i, x in enumerate(lists)]
+    got = {r["id"]: r["text"] for r in bpe.decode(spark.createDataFrame(data, "id int, n_tokens long, ids binary"), PATH).collect()}
+    assert [got[i] for i in range(5)] == [library.decode(x or [], skip_special_tokens=False) for x in lists[:3]] + ["Hello", ""]
 
 
 def _vectors():
