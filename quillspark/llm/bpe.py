@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -11,11 +12,12 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import small_batches
 
 #: Fixed value of the byte-level format: how a text falls into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -188,70 +190,83 @@ class Numbers(dict):
         return n
 
 
-_SPLIT = ["block", "ids", "sizes", "places", "first", "words"]
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed: their low bytes first, then the next ones."""
+    planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(a).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _splitting(path: str, most_words: int, most_text: int, chunk: int = 1 << 20):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        block = TaskContext.get().partitionId() << 32
-        numbers, read, ids, places, n = Numbers(), 0, [], [], 0
+def unpack(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    planes = np.frombuffer(pa.decompress(b[4:], 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
-        def row(*columns) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([block]), *columns], _SPLIT)
 
-        def texts() -> Iterator[pa.RecordBatch]:
+def _splitting(path: str, texts: bool, most_words: int, most_text: int, chunk: int = 1 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, at, nth = loaded(path), TaskContext.get().partitionId(), 0
+        numbers, read, ids, places, n, done = Numbers(), 0, [], [], 0, []
+
+        def close_chunk() -> None:
+            nonlocal ids, places, n
             if ids:
-                rows = pa.concat_arrays(ids)
-                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                packed = [pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (np.array(list(map(len, places)), np.int32), np.concatenate(places))]
-                yield row(listed, *packed, pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())))
+                done.append((pa.concat_arrays(ids), pack(np.array(list(map(len, places)), np.int32)), pack(np.concatenate(places))))
+            ids, places, n = [], [], 0
 
-        def dictionary(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        def close_block() -> Iterator[pa.RecordBatch]:
+            nonlocal numbers, read, nth, done
+            close_chunk()
             words = list(numbers)
-            for i in range(0, len(words), 20_000):
-                yield row(pa.nulls(1, pa.list_(kind)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([words[i : i + 20_000]]))
+            whole = xxhash.xxh64(at.to_bytes(8, "little") + nth.to_bytes(8, "little"))
+            for word in words:
+                whole.update(word.encode() + b"\0")
+            block = pa.array(np.array([whole.intdigest()], np.uint64).view(np.int64))
+            for rows, sizes, packed in done:
+                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                yield pa.record_batch([block, listed, pa.array([sizes]), pa.array([packed])], ["block", "ids", "sizes", "places"])
+            for i in range(0, 0 if texts else len(words), 20_000):
+                yield pa.record_batch([block, pa.array([i], pa.int32()), pa.array([words[i : i + 20_000]])], ["block", "first", "words"])
+            numbers, read, done, nth = Numbers(), 0, [], nth + 1
 
-        kind = None
         for batch in small_batches(batches):
-            kind = batch.schema.types[0]
             for text in _texts(batch.column(1)):
                 words = [w for special, s in bpe.sections(text) for w in ([s] if special else bpe.words(s))]
-                places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                if texts:
+                    places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                else:
+                    deque(map(numbers.__getitem__, words), 0)
                 n, read = n + len(words), read + len(text)
-            ids.append(batch.column(0))
-            full = len(numbers) >= most_words or numbers.size >= most_text or read >= most_text
-            if n >= chunk or full:
-                yield from texts()
-                ids, places, n = [], [], 0
-            if full:
-                yield from dictionary(kind)
-                numbers, read, block = Numbers(), 0, block + 1
-        if kind is not None:
-            yield from texts()
-            yield from dictionary(kind)
+            if texts:
+                ids.append(batch.column(0))
+                if n >= chunk:
+                    close_chunk()
+            if len(numbers) >= most_words or numbers.size >= most_text or read >= most_text:
+                yield from close_block()
+        yield from close_block()
 
     return run
 
 
-def split_words(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 400_000, most_text: int = 1 << 24) -> DataFrame:
-    """Texts as numbered words, in blocks; two kinds of rows, both with ``block``.
+def split_words(docs: DataFrame, path: str, texts: bool, id_col: str = "doc_id", text_col: str = "text", most_words: int = 400_000, most_text: int = 1 << 24) -> DataFrame:
+    """Texts as numbered words, in blocks.
 
-    ``ids, sizes, places``: some texts of the block, each one's number of words,
-    and the words' numbers in order (both packed).  ``first, words``: words of
-    the block, each once, the first of them with number ``first``.  A block
-    ends with its task, or at ``most_words`` words or ``most_text`` characters.
+    ``texts``: rows ``block, ids, sizes, places`` with some texts of the block,
+    each one's number of words, and the words' numbers in order (packed).
+    Otherwise: rows ``block, first, words`` with the words of the block, each
+    once, the first of them with number ``first``.  A block ends with its task,
+    or at ``most_words`` words or ``most_text`` characters; its name is a hash
+    of its place and its words, so the two never meet unless they belong together.
     """
-    kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_splitting(path, most_words, most_text), f"block long, ids array<{kind}>, sizes binary, places binary, first int, words array<string>")
+    schema = f"block long, ids array<{dict(docs.dtypes)[id_col]}>, sizes binary, places binary" if texts else "block long, first int, words array<string>"
+    return rows.mapInArrow(_splitting(path, texts, most_words, most_text), schema)
 
 
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
 
 
-def _encoding(path: str, many: int = 100_000):
+def _encoding(path: str, many: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last = loaded(path), (None, b"")
         special = {s: i.to_bytes(4, "little") for s, i in bpe.special.items()}
@@ -259,12 +274,13 @@ def _encoding(path: str, many: int = 100_000):
 
         def by_block() -> Iterator[pa.RecordBatch]:
             block, number, ids = np.concatenate(blocks), np.concatenate(numbers), pa.concat_arrays(coded)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
-            ids = ids.take(pa.array(order))
-            sizes, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
-            inside = np.add.reduceat(sizes, cuts[:-1])
-            yield pa.record_batch([pa.array(block[order][cuts[:-1]]), _lists(number[order], np.diff(cuts)), _lists(sizes, np.diff(cuts)), _lists(flat, inside)], ["block", "numbers", "sizes", "ids"])
+            order = np.lexsort((number, block))
+            block, number, ids = block[order], number[order], ids.take(pa.array(order))
+            cuts = np.flatnonzero(np.r_[True, np.diff(block) != 0, True])
+            at, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                row = np.diff(number[a:b], prepend=0), np.diff(at[a : b + 1]), flat[at[a] - at[0] : at[b] - at[0]]
+                yield pa.record_batch([pa.array(block[a : a + 1]), *(pa.array([pack(x)]) for x in row)], ["block", "steps", "sizes", "ids"])
 
         for batch in batches:
             words = batch.column(2).dictionary_encode()
@@ -286,16 +302,17 @@ def _encoding(path: str, many: int = 100_000):
     return run
 
 
-def encode_words(split: DataFrame, path: str) -> DataFrame:
+def encode_words(words: DataFrame, path: str) -> DataFrame:
     """The distinct-word table over all blocks: each distinct word is encoded once.
 
     All uses of a word (one a block) come together in one sort, the word is
-    encoded, and its ids go back to each block: ``block, numbers, sizes, ids``,
-    the words' numbers there, how many ids each has, and these.
+    encoded, and its ids go back to each block: ``block, steps, sizes, ids``,
+    packed: the words' numbers there (each less the one before), how many ids
+    each word has, and these.
     """
-    uses = split.where("words is not null").select("block", "first", F.posexplode("words").alias("nth", "word"))
+    uses = words.select("block", "first", F.posexplode("words").alias("nth", "word"))
     uses = uses.select("block", (F.col("first") + F.col("nth")).alias("number"), "word").repartition("word").sortWithinPartitions("word")
-    return uses.mapInArrow(_encoding(path), "block long, numbers array<int>, sizes array<int>, ids array<int>")
+    return uses.mapInArrow(_encoding(path), "block long, steps binary, sizes binary, ids binary")
 
 
 @lru_cache(4)
@@ -318,17 +335,20 @@ def _joining(path: str, with_text: bool):
     names = ["id", "n_tokens", "ids", "text"][: 3 + with_text]
 
     def run(split: pa.Table, words: pa.Table) -> pa.Table:
+        if not split.num_rows:
+            raise RuntimeError("the documents changed between two readings; write them to a table first")
+
         def whole(name: str) -> np.ndarray:
-            return words[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            return np.concatenate([unpack(x.as_py()) for x in words[name]] or [np.zeros(0, np.int32)])
 
-        order = np.argsort(whole("numbers"))  # each number of the block stands there once
-        table, out = _lists(whole("ids"), whole("sizes")).take(pa.array(order)), []
+        number = np.concatenate([np.cumsum(unpack(x.as_py())) for x in words["steps"]] or [np.zeros(0, np.int64)])
+        table, out = _lists(whole("ids"), whole("sizes")).take(pa.array(np.argsort(number))), []  # each number of the block stands there once
         known = pieces(path) if with_text else None
         for r in range(split.num_rows):
-            ids, sizes, places = (split[c][r] for c in ("ids", "sizes", "places"))
-            sizes = np.frombuffer(pa.decompress(sizes.as_py(), 4 * len(ids), "zstd"), np.int32)
-            n = int(sizes.sum(dtype=np.int64))
-            found = table.take(pa.array(np.frombuffer(pa.decompress(places.as_py(), 4 * n, "zstd"), np.int32)))
+            ids, sizes, places = split["ids"][r], unpack(split["sizes"][r].as_py()), unpack(split["places"][r].as_py())
+            if len(places) and not len(table):
+                raise RuntimeError("the documents changed between two readings; write them to a table first")
+            found = table.take(pa.array(places))
             cuts = found.offsets.to_numpy()[np.r_[0, np.cumsum(sizes)]]
             flat, many = found.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.diff(cuts)
             raw = memoryview(flat).cast("B")
@@ -343,10 +363,10 @@ def _joining(path: str, with_text: bool):
 
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, with_text: bool, **block) -> DataFrame:
-    split = saved(split_words(docs, path, id_col, text_col, **block))
-    texts = split.where("places is not null").select("block", "ids", "sizes", "places")
+    texts = split_words(docs, path, True, id_col, text_col, **block)
+    words = split_words(docs, path, False, id_col, text_col, **block)
     schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, ids binary" + ", text string" * with_text
-    return texts.groupBy("block").cogroup(encode_words(split, path).groupBy("block")).applyInArrow(_joining(path, with_text), schema)
+    return texts.groupBy("block").cogroup(encode_words(words, path).groupBy("block")).applyInArrow(_joining(path, with_text), schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **block) -> DataFrame:
@@ -356,7 +376,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     encoded once, and its ids are joined back by position.  Words aren't
     shuffled for every use, but once for each block of texts that uses them, so
     neither a frequent word nor a long text makes a large group; no table of
-    words is held by the driver or sent to all workers.  Null texts count as
+    words is held by the driver or sent to all workers.  ``docs`` is read
+    twice, and has to give the same rows in the same order, as tables do;
+    otherwise this raises.  Null texts count as
     empty; special strings in a text become their own id, as is the library's
     default.  Repeated rows give repeated results, null ids are ids like any
     other, other columns aren't read; an empty table gives an empty result.

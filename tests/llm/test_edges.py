@@ -232,12 +232,20 @@ def test_encode_and_decode(odd, nothing):
 
 
 def test_each_distinct_word_is_encoded_once(odd, spark):
-    split = bpe.split_words(odd, PATH, most_text=1)
+    split = bpe.split_words(odd, PATH, False, most_text=1)
     uses = split.selectExpr("block", "explode(words) as word")
     assert uses.groupBy("word").count().where("count > 1").count() > 0  # many blocks use a word
     rows = bpe.encode_words(split, PATH).collect()
-    assert sum(len(r["numbers"]) for r in rows) == uses.count()
-    assert all(sum(r["sizes"]) == len(r["ids"]) and len(r["sizes"]) == len(r["numbers"]) for r in rows)
+    sizes = [bpe.unpack(r["sizes"]) for r in rows]
+    assert sum(map(len, sizes)) == uses.count()
+    assert all(len(s) == len(bpe.unpack(r["steps"])) and s.sum() == len(bpe.unpack(r["ids"])) for r, s in zip(rows, sizes, strict=True))
+    blocks = {r["block"] for r in bpe.split_words(odd, PATH, True, most_text=1).collect()}
+    assert {r["block"] for r in rows} <= blocks
+
+
+def test_packed_numbers():
+    for a in ([], [0], [1, 2**31 - 1, 255, 256, 0]):
+        assert bpe.unpack(bpe.pack(np.array(a, np.int32))).tolist() == a
 
 
 def test_decode_of_any_ids(spark):
