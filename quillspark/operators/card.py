@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers, text
-from quillspark.plans.rules import any_of
 
 # Taxonomy and lexical signals.
 TAXONOMY = "explaining-technical anecdote argument disagreement praise hedging-uncertainty numbers-data addressing-reader openings closings".split()
 STRUCTURAL = ["openings", "closings"]
 NUMBER_WORDS = """one two three four five six seven eight nine ten eleven twelve dozen hundred thousand million twenty thirty forty
 fifty sixty seventy eighty ninety percent half quarter double triple"""
+NUMBER_ALTERNATIVES = "|".join(NUMBER_WORDS.split())
 SIGNALS = {
     "explaining-technical": "because|so that|which means|the reason|works by|depends on|the way it|in order to|that's how|this is how|the trick is|you have to|the point of",
     "argument": "therefore|thus|consequently|the point is|i distrust|clearly|obviously|in fact|the truth is|matters because|that's the point|either way|that's rare|nobody|no one",
@@ -48,7 +48,7 @@ def dimensions(sentence: Column) -> Column:
     first, timed = F.arrays_overlap(words, text.words_in(FIRST_PERSON)), F.arrays_overlap(words, text.words_in(TIME_CUES))
     past = F.exists(words, lambda w: w.endswith("ed") & (F.length(w) > 3))
     tests = {name: low.rlike(_signal(s)) for name, s in SIGNALS.items()} | {
-        "numbers-data": low.rlike(rf"\d|\b{any_of(NUMBER_WORDS)}\b"),
+        "numbers-data": low.rlike(rf"\d|\b(?:{NUMBER_ALTERNATIVES})\b"),
         "addressing-reader": F.rtrim(sentence).endswith("?") | low.rlike(r"\b(?:you|your)\b"),
         "anecdote": first & (timed | past),
     }

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -14,15 +18,56 @@ from quillspark.functions import text
 from quillspark.plans.rules import Rule, as_table, catalog, pack_of
 
 SPAN = "array<struct<rule_id:int,start:int,end:int>>"
-_BLANKED = [r"```[\s\S]*?```", r"`[^`\n]+`"]
-_QUOTED = [r"(?m)^>.*$", r'"[^"]*"', r"“[^”]*”"]
+
+
+def _between(t: str, first: str, last: str, one_line: bool = False) -> Iterator[tuple[int, int]]:
+    """Places from one mark to the next closing one; ``one_line``: with something between, and no line break."""
+    a = t.find(first)
+    while a >= 0:
+        b = t.find(last, a + len(first))
+        if b < 0:
+            return
+        inner = t[a + len(first) : b]
+        if one_line and (not inner or "\n" in inner):
+            a = t.find(first, a + 1)
+        else:
+            yield a, b + len(last)
+            a = t.find(first, b + len(last))
+
+
+def _cited(t: str) -> Iterator[tuple[int, int]]:
+    """Lines that begin with the mark of a block quote."""
+    a = 0
+    while a <= len(t):
+        b = t.find("\n", a)
+        b = len(t) if b < 0 else b
+        if t.startswith(">", a):
+            yield a, b
+        a = b + 1
+
+
+def _blanked(t: str, places: Iterator[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in places:
+        out += [t[at:a], "\n".join(" " * len(line) for line in t[a:b].split("\n"))]
+        at = b
+    return "".join([*out, t[at:]]) if out else t
 
 
 def mask(t: str, include_quoted: bool = False) -> str:
-    """code, and unless wanted quoted lines and double-quoted spans, blanked at the same length; newlines stay."""
-    for pattern in _BLANKED if include_quoted else _BLANKED + _QUOTED:
-        t = re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), t)
-    return t
+    """code, and unless wanted quoted lines and double-quoted spans, blanked at the same length; newlines stay.
+
+    Each kind is sought in what the kinds before it left, so a quotation mark
+    in code opens nothing.
+    """
+    if "`" in t:
+        t = _blanked(t, _between(t, "```", "```"))
+        t = _blanked(t, _between(t, "`", "`", one_line=True))
+    if include_quoted:
+        return t
+    t = _blanked(t, _cited(t)) if ">" in t else t
+    t = _blanked(t, _between(t, '"', '"'))
+    return _blanked(t, _between(t, "“", "”"))
 
 
 def masked(t: Column, include_quoted: bool = False) -> Column:
@@ -114,36 +159,62 @@ def spans(t: Column, rules: list[Rule] | None = None, include_quoted: bool = Fal
     return run(t)
 
 
-def gated(found: Column, rules: list[Rule]) -> Column:
-    """D3 in the row: a rule with fewer matches than its least is dropped."""
-    least = {r.rule_id: r.min_matches for r in rules if r.min_matches > 1}
-    if not least:
-        return found
-    wanted = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
-    return F.filter(found, lambda s: F.coalesce(F.size(F.filter(found, lambda o: o["rule_id"] == s["rule_id"])) >= wanted[s["rule_id"]], F.lit(True)))
-
+def kept(found: list[dict], rules: dict[int, Rule]) -> list[dict]:
+    """D3 and D4 of one text: rules with fewer matches than their least go, then spans that a different one encloses.
 
-def uncontained(found: Column, rules: list[Rule]) -> Column:
-    """D4 in the row: a span enclosed by a different one goes, unless its category has a frequency gate.
-
-    One sort by (start, longest first) and one fold that keeps the furthest end
-    seen before this start and within it.
+    Spans of categories with a frequency gate are never enclosed.  One sort by
+    (start, longest first), and one pass with the furthest end of earlier
+    starts and of this one.
     """
-    exempt = {r.category for r in rules if r.min_matches > 1}
-    ids = F.array(*[F.lit(r.rule_id) for r in rules if r.category in exempt]) if exempt else F.array().cast("array<int>")
-    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("s"), (-s["end"]).alias("e"), s["rule_id"].alias("r"))))
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(-1).alias("before"), F.lit(-1).alias("at"), F.lit(-1).alias("here"), none.alias("kept"))
+    n = Counter(s["rule_id"] for s in found)
+    found = [s for s in found if n[s["rule_id"]] >= rules[s["rule_id"]].min_matches]
+    exempt = {r.category for r in rules.values() if r.min_matches > 1}
+    out, furthest = [], -1
+    for _, same in groupby(sorted(found, key=lambda s: (s["start"], -s["end"])), key=lambda s: s["start"]):
+        same = list(same)
+        longest = same[0]["end"]
+        out += [s for s in same if rules[s["rule_id"]].category in exempt or (furthest < s["end"] and longest == s["end"])]
+        furthest = max(furthest, longest)
+    return sorted(out, key=lambda s: (s["start"], s["rule_id"], s["end"]))
+
+
+VIOLATIONS = "array<struct<phrase:string,category:string,severity:string,suggestion:string,line_number:int,column:int,context:string,start:int,end:int,rule_id:int>>"
+
+
+def _violations(t: str, found: list[dict], rules: dict[int, Rule]) -> list[dict]:
+    """Spans with their rule's facts, and line, column and trimmed line (T24) by bisection."""
+    lines = [0, *(m.end() for m in re.finditer("\n", t))]
+    out = []
+    for s in found:
+        r, line = rules[s["rule_id"]], bisect_right(lines, s["start"])
+        context = t[lines[line - 1] : lines[line] - 1 if line < len(lines) else len(t)].strip()
+        out.append(
+            {
+                "phrase": r.pattern if r.kind == "phrase" else t[s["start"] : s["end"]].lower(),
+                "category": r.category,
+                "severity": r.severity,
+                "suggestion": r.suggestion,
+                "line_number": line,
+                "column": s["start"] - lines[line - 1] + 1,
+                "context": context if len(context) <= 100 else context[:100] + "...",
+                **s,
+            }
+        )
+    return out
+
+
+def violations(t: Column, rules: list[Rule] | None = None, include_quoted: bool = False) -> Column:
+    """D1 to D5 as a column, in order of place, then rule: one Arrow function, linear in text and findings."""
+    fixed = tuple(catalog() if rules is None else rules)
+    text_, int_ = pa.string(), pa.int32()
+    kind = pa.list_(pa.struct([(n, text_) for n in ("phrase", "category", "severity", "suggestion")] + [("line_number", int_), ("column", int_), ("context", text_), ("start", int_), ("end", int_), ("rule_id", int_)]))
 
-    def step(a, s):
-        new = s["s"] != a["at"]
-        before = F.when(new, F.greatest(a["before"], a["here"])).otherwise(a["before"])
-        here = F.when(new, F.lit(-1)).otherwise(a["here"])
-        inside = (before >= -s["e"]) | (here > -s["e"])
-        kept = F.when(inside & ~F.array_contains(ids, s["r"]), a["kept"]).otherwise(F.concat(a["kept"], F.array(F.struct(s["r"].alias("rule_id"), s["s"].alias("start"), (-s["e"]).alias("end")))))
-        return F.struct(before.alias("before"), s["s"].alias("at"), F.greatest(here, -s["e"]).alias("here"), kept.alias("kept"))
+    @F.arrow_udf(VIOLATIONS)
+    def run(xs: pa.Array) -> pa.Array:
+        m, by_id = matcher(fixed), {r.rule_id: r for r in fixed}
+        return pa.array([None if x is None else _violations(x, kept(m.spans(mask(x, include_quoted)), by_id), by_id) for x in xs.to_pylist()], kind)
 
-    return F.aggregate(ordered, start, step, lambda a: a["kept"])
+    return run(t)
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, include_quoted: bool = False) -> DataFrame:
@@ -152,32 +223,24 @@ def scan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = Non
     Null texts give null.  A text is declined only if it has no violation and
     isn't English.
     """
-    rules = catalog() if rules is None else rules
     t = F.col(text_col)
-    rows = docs.withColumn("_all", spans(t, rules, include_quoted))
-    rows = rows.withColumn("_gated", gated(F.col("_all"), rules))
-    rows = rows.withColumn("_kept", F.array_sort(F.transform(uncontained(F.col("_gated"), rules), lambda s: F.struct(s["start"].alias("start"), s["rule_id"].alias("rule_id"), s["end"].alias("end")))))
-    fact = lambda get: F.create_map(*[x for r in rules for x in (F.lit(r.rule_id), F.lit(get(r)))])
-    category, severity = fact(lambda r: r.category), fact(lambda r: r.severity)
-    phrase = fact(lambda r: r.pattern if r.kind == "phrase" else "")
-    said = lambda s: F.when(phrase[s["rule_id"]] != "", phrase[s["rule_id"]]).otherwise(F.lower(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
-    out = F.transform(
-        "_kept",
-        lambda s: F.struct(
-            said(s).alias("phrase"),
-            category[s["rule_id"]].alias("category"),
-            severity[s["rule_id"]].alias("severity"),
-            text.line_of(t, s["start"]).alias("line_number"),
-            text.column_of(t, s["start"]).alias("column"),
-            text.context_of(t, s["start"]).alias("context"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["rule_id"].alias("rule_id"),
-        ),
-    )
-    rows = rows.withColumn("_v", out)
+    rows = docs.withColumn("_v", violations(t, rules, include_quoted))
     declined = (F.size("_v") == 0) & ~text.is_english(text.english_tokens(t))
-    return rows.select(*docs.columns, F.when(t.isNotNull(), F.col("_v")).alias("violations"), F.when(t.isNotNull(), declined).alias("declined"))
+    return rows.select(*docs.columns, F.col("_v").alias("violations"), F.when(t.isNotNull(), declined).alias("declined"))
+
+
+def severity_gate(scanned: DataFrame, id_col: str = "doc_id", flags: Column | None = None) -> DataFrame:
+    """``id, hard, soft, gate`` over the union of all findings of a text.
+
+    ``scanned`` has ``violations``; ``flags``: further findings of the
+    document, an array of structs with ``severity``.  Gate: ``fail`` with a hard
+    finding, ``review`` with soft ones only, else ``pass``; null texts pass.
+    """
+    all_ = F.transform(F.coalesce("violations", F.array().cast(VIOLATIONS)), lambda v: v["severity"])
+    if flags is not None:
+        all_ = F.concat(all_, F.transform(F.coalesce(flags, F.array().cast("array<struct<severity:string>>")), lambda f: f["severity"]))
+    rows = scanned.select(id_col, F.size(F.filter(all_, lambda x: x == "hard")).alias("hard"), F.size(F.filter(all_, lambda x: x == "soft")).alias("soft"))
+    return rows.withColumn("gate", F.when(F.col("hard") > 0, "fail").when(F.col("soft") > 0, "review").otherwise("pass"))
 
 
 # --- the same steps over a span relation ----------------------------------------------------------------------------
@@ -233,11 +296,19 @@ def pack_problems(assigned: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, phrases: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Matches of literal phrases by document and category, JVM-side: ``id, category, n``; documents without any are left out.
+    """Matches of literal phrases by document and category: ``id, category, n``; documents without any are left out.
 
-    A literal guard before each pattern keeps the common case to a substring test.
+    The automaton reads each text once, whatever the number of phrases.
     """
-    t, low = F.col(text_col), F.lower(text_col)
-    each = [F.struct(F.lit(r.category).alias("category"), F.when(low.contains(r.pattern), F.regexp_count(t, F.lit("(?i)" + r.regex))).otherwise(0).alias("n")) for r in phrases]
-    rows = docs.select(id_col, F.inline(F.filter(F.array(*each), lambda x: x["n"] > 0)))
-    return rows.groupBy(id_col, "category").agg(F.sum("n").cast("long").alias("n"))
+    fixed = tuple(phrases)
+    of = {r.rule_id: r.category for r in fixed}
+
+    @F.arrow_udf("array<struct<category:string,n:bigint>>")
+    def run(xs: pa.Array) -> pa.Array:
+        m, out = matcher(fixed), []
+        for x in xs.to_pylist():
+            n = Counter(of[s["rule_id"]] for s in m.spans(x or ""))
+            out.append([{"category": c, "n": n[c]} for c in sorted(n)])
+        return pa.array(out, pa.list_(pa.struct([("category", pa.string()), ("n", pa.int64())])))
+
+    return docs.select(id_col, F.inline(run(F.col(text_col))))

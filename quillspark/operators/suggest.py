@@ -13,12 +13,13 @@ SUGGESTION = "struct<span:struct<start:int,end:int,text:string>,severity:string,
 
 
 def from_violations(violations: Column, t: Column) -> Column:
-    """G1: a span-anchored suggestion for each violation; soft ones ask."""
+    """G1: a span-anchored suggestion for each violation, with the rule's own suggestion where it has one; soft ones ask."""
 
     def one(v):
         said, soft = F.substring(t, v["start"] + 1, v["end"] - v["start"]), v["severity"] == "soft"
-        ask = F.concat(F.lit("Soft tell ("), v["category"], F.lit("): could “"), said, F.lit("” be cut or reworded here?"))
-        tell = F.concat(F.lit("AI-writing tell ("), v["category"], F.lit("): replace “"), said, F.lit("”."))
+        hint = F.coalesce(F.concat(F.lit(" Consider: "), v["suggestion"], F.lit(".")), F.lit(""))
+        ask = F.concat(F.lit("Soft tell ("), v["category"], F.lit("): could “"), said, F.lit("” be cut or reworded here?"), hint)
+        tell = F.concat(F.lit("AI-writing tell ("), v["category"], F.lit("): replace “"), said, F.coalesce(F.concat(F.lit("” — "), v["suggestion"]), F.lit("”.")))
         return F.struct(
             F.struct(v["start"].alias("start"), v["end"].alias("end"), said.alias("text")).alias("span"),
             v["severity"].alias("severity"),
@@ -66,13 +67,27 @@ def counts(suggested: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.groupingSets(sets, id_col, "severity", "category").agg(F.count("*").alias("n"))
 
 
-def merge(suggestions: DataFrame, replacements: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Suggestions (id, start, end, span_text) with replacements of the same span; and warnings ``id, start, end, warning``."""
+def _scanned(rows: DataFrame, text_col: str, rules: list[Rule] | None) -> DataFrame:
+    """Add ``clean``: whether neither scanner has a finding in ``text_col``."""
+    found = structure.scan(rows.withColumn("_v", detect.violations(F.col(text_col), rules)), text_col)
+    own = [c for c in rows.columns]
+    return found.select(*own, ((F.size("_v") == 0) & (F.size(F.coalesce(F.col("structure")["flags"]["metric"], F.array().cast("array<string>"))) == 0)).alias("clean"))
+
+
+def merge(suggestions: DataFrame, replacements: DataFrame, id_col: str = "doc_id", rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Suggestions (id, start, end, span_text) with replacements of the same span; and warnings ``id, start, end, warning``.
+
+    A replacement is warned of if it is the span itself, else if a scanner has
+    a finding in it alone, or if it has no suggestion.
+    """
     keys = [id_col, "start", "end"]
     merged = suggestions.join(replacements.select(*keys, F.col("replacement").alias("suggested_replacement")), keys, "left")
-    same = merged.where("suggested_replacement = span_text").select(*keys, F.lit("identical to span text").alias("warning"))
+    new = F.col("suggested_replacement")
+    same = merged.where(new == F.col("span_text")).select(*keys, F.lit("identical to span text").alias("warning"))
+    other = _scanned(merged.where(new.isNotNull() & (new != F.col("span_text"))), "suggested_replacement", rules)
+    dirty = other.where("not clean").select(*keys, F.lit("does not pass the scanners alone").alias("warning"))
     unknown = replacements.join(suggestions, keys, "left_anti").select(*keys, F.lit("targets unknown span").alias("warning"))
-    return merged, same.unionByName(unknown)
+    return merged, same.unionByName(dirty).unionByName(unknown)
 
 
 def overlaps(suggestions: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -121,9 +136,8 @@ def apply_all(t: Column, edits: Column) -> Column:
 
 
 def accept_all(documents: DataFrame, text_col: str = "text", edits_col: str = "edits", rules: list[Rule] | None = None) -> DataFrame:
-    """Add ``applied``, ``clean`` and ``preserved`` to documents with an array of edits."""
+    """Add ``applied``, ``clean`` (for both scanners) and ``preserved`` to documents with an array of edits."""
     edits = F.filter(edits_col, lambda e: e["replacement"].isNotNull())
-    rows = documents.withColumn("applied", apply_all(F.col(text_col), edits))
-    rows = rows.withColumn("clean", F.size(detect.gated(detect.spans(F.col("applied"), rules), rules or [])) == 0)
+    rows = _scanned(documents.withColumn("applied", apply_all(F.col(text_col), edits)), "applied", rules)
     rows = facts.validate(rows, text_col, "applied")
     return rows.withColumn("preserved", F.col("preservation")["passed"]).drop("preservation")

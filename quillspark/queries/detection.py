@@ -168,7 +168,7 @@ SQL_TYPES = ["currency", "percentage", "date_iso", "date_quarter", "year", "emai
 
 def _facts_sql() -> str:
     parts = []
-    for kind, pattern in facts.patterns():
+    for kind, pattern in facts.PATTERNS:
         if kind in SQL_TYPES:
             parts.append(f"SELECT doc_id, '{kind}' AS type, {sql.count_of('text', pattern)} AS n FROM d")
     return f"WITH d AS ({seeded_sql('doc_id')}), x AS ({' UNION ALL '.join(parts)}) SELECT doc_id, type, n FROM x WHERE n > 0"

@@ -301,7 +301,7 @@ def _dimension(name: str) -> str:
     if name in card.SIGNALS:
         return f"regexp_matches(lower(s), {sql.quoted(card._signal(card.SIGNALS[name]))})"
     if name == "numbers-data":
-        return f"regexp_matches(lower(s), {sql.quoted(r'[0-9]|' + chr(92) + 'b' + card.any_of(card.NUMBER_WORDS) + chr(92) + 'b')})"
+        return f"regexp_matches(lower(s), {sql.quoted(r'[0-9]|' + chr(92) + 'b' + '(?:' + card.NUMBER_ALTERNATIVES + ')' + chr(92) + 'b')})"
     if name == "addressing-reader":
         return r"(rtrim(s) LIKE '%?' OR regexp_matches(lower(s), '\b(?:you|your)\b'))"
     w = sql.style_words("s")

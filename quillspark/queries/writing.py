@@ -225,7 +225,7 @@ def calibration_pairs(spark, sf):
     docs = seeded(documents(spark, sf, "doc_id", "text"))
     out = None
     for d in prefs.DIMENSIONS:
-        rows = docs.select("doc_id", prefs.transformed(F.col("text"), d).alias("t")).groupBy(F.lit(d).alias("dimension"), F.col("t")["pole"].alias("pole")).agg(F.count("*").alias("n"))
+        rows = prefs.transformed(docs, d, into="t").groupBy(F.lit(d).alias("dimension"), F.col("t")["pole"].alias("pole")).agg(F.count("*").alias("n"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

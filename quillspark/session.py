@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
         return
     target = Path(tempfile.mkdtemp(prefix="quillspark-")) / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(package.rglob("*.py")):
+        for f in sorted([*package.rglob("*.py"), *package.rglob("*.tsv")]):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)

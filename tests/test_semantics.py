@@ -234,10 +234,63 @@ def test_wilson_and_statuses(spark):
     ],
 )
 def test_transforms(spark, dimension, base, pole):
-    made = one(spark, base, lambda c: prefs.transformed(c, dimension))
+    made = prefs.transformed(spark.createDataFrame([(base,)], "text string"), dimension).first()["made"]
     assert (made["pole"] if made else None) == pole
 
 
+@pytest.mark.parametrize(
+    "dimension, base, text",
+    [
+        ("contractions", "Don't worry, it's late and I'm home.", "Do not worry, it is late and I am home."),
+        ("contractions", "The Venue Can't Stop tonight, it can't.", "The Venue Can't Stop tonight, it cannot."),
+        ("contractions", "That is not what we have seen; I am sure. It is late.", "That isn't what we've seen; I'm sure. It's late."),
+        ("contractions", "Nothing to change here.", None),
+        ("sentence_length", "The team shipped the fix, and the client renewed it.", "The team shipped the fix. And the client renewed it."),
+        ("sentence_length", "One, and two. We met the new team, so they were all glad. End.", "One, and two. We met the new team. So they were all glad. End."),
+        ("sentence_length", "It rained. The road was wet!", "It rained, and the road was wet!"),
+        ("sentence_length", "It rained. Priya was wet. Yes.", "It rained, and Priya was wet. Yes."),
+        ("sentence_length", "Only one sentence stands here.", None),
+        ("connectives", "However, it rained. Therefore we left. But then so.", "But it rained. So we left. But then so."),
+        ("connectives", "But it rained. So, we left.", "However, it rained. Therefore, we left."),
+        ("connectives", "It rained, however, a lot.", None),
+        ("staccato", "We ran. We hid. Priya slept.", "We ran, we hid, and Priya slept."),
+        ("staccato", "He packed the red car, and drove over the old hill, because snow fell on it!", "He packed the red car. Drove over the old hill. Snow fell on it!"),
+        ("staccato", "He packed the car, then he drove away over the hill.", None),
+    ],
+)
+def test_transformed_texts(spark, dimension, base, text):
+    made = prefs.transformed(spark.createDataFrame([(base,)], "text string"), dimension).first()["made"]
+    assert (made["text"] if made else None) == text
+
+
+def test_rationale_names_the_suggestion(spark):
+    mine = [rules.Rule(0, "phrase", "utilize", "jargon", "hard", 1, "use"), rules.Rule(1, "phrase", "myriad", "ai_vocabulary", "soft", 1, "many"), rules.Rule(2, "phrase", "it turns out", "throat_clearing", "hard")]
+    df = spark.createDataFrame([("It turns out we utilize a myriad of the tools that are in the box.",)], "text string")
+    got = [s["rationale"] for s in suggest.suggest(df, rules=mine).first()["suggestions"]]
+    assert got == [
+        "AI-writing tell (throat_clearing): replace “It turns out”.",
+        "AI-writing tell (jargon): replace “utilize” — use",
+        "Soft tell (ai_vocabulary): could “myriad” be cut or reworded here? Consider: many.",
+    ]
+
+
+def test_merge_warns_of_replacements_that_are_not_clean(spark):
+    s = spark.createDataFrame([(1, 0, 3, "abc"), (1, 5, 8, "def"), (1, 9, 12, "ghi")], "doc_id int, start int, end int, span_text string")
+    r = spark.createDataFrame([(1, 0, 3, "abc"), (1, 5, 8, "a treasure trove"), (1, 9, 12, "plain"), (1, 20, 21, "x")], "doc_id int, start int, end int, replacement string")
+    merged, warned = suggest.merge(s, r)
+    assert merged.count() == 3
+    assert {(w["start"], w["warning"]) for w in warned.collect()} == {(0, "identical to span text"), (5, "does not pass the scanners alone"), (20, "targets unknown span")}
+
+
+def test_severity_gate(spark):
+    mine = [rules.Rule(0, "phrase", "hard one", "a", "hard"), rules.Rule(1, "phrase", "soft one", "b", "soft")]
+    df = spark.createDataFrame([(1, "a hard one, a soft one"), (2, "a soft one"), (3, "none"), (4, None)], "doc_id int, text string")
+    rows = {r["doc_id"]: (r["hard"], r["soft"], r["gate"]) for r in detect.severity_gate(detect.scan(df, rules=mine)).collect()}
+    assert rows == {1: (1, 1, "fail"), 2: (0, 1, "review"), 3: (0, 0, "pass"), 4: (0, 0, "pass")}
+    flagged = detect.scan(df, rules=mine).withColumn("flags", F.array(F.struct(F.lit("soft").alias("severity"))))
+    assert {r["doc_id"]: r["gate"] for r in detect.severity_gate(flagged, flags=F.col("flags")).collect()} == {1: "fail", 2: "review", 3: "review", 4: "review"}
+
+
 def test_statistics():
     assert stats.sign_flip([], 1) == 1.0
     assert stats.sign_flip([0.1] * 8, 7) == pytest.approx(2 / 256)
@@ -336,12 +389,21 @@ def test_replay_stops_on_divergence(spark):
     assert [r["accepted"] for r in out] == [True, False, False] and out[0]["stop_reason"] == "divergence"
 
 
-def test_parse_findings():
-    assert grading.parse_findings('```json\n[{"span": "a"}]\n```') == [{"span": "a"}]
-    assert grading.parse_findings('Sure: [{"span": "a"}] done') == [{"span": "a"}]
-    assert grading.parse_findings('{"findings": [{"span": "b"}]}') == [{"span": "b"}]
-    assert grading.parse_findings('{"span": "c"},\n{"span": "d"}') == [{"span": "c"}, {"span": "d"}]
-    assert grading.parse_findings("nothing") == [] and grading.parse_findings(None) == []
+def test_findings_of_replies(spark):
+    replies = {
+        '```json\n[{"span": "a"}]\n```': [("a", None)],
+        'Sure: [{"span": "a"}] done': [("a", None)],
+        '{"findings": [{"span": "b", "category": "c"}, 4]}': [("b", "c")],
+        '{"span": "c"},\n{"span": "d"}\nthat is all': [("c", None), ("d", None)],
+        '{"span": 5, "category": "x"}': [(None, "x")],
+        "nothing": [],
+        "": [],
+        "[]": [],
+        None: [],
+    }
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, raw string")
+    got = {r["i"]: [tuple(x) for x in r["f"]] for r in df.select("i", grading.findings(F.col("raw")).alias("f")).collect()}
+    assert [got[i] for i in range(len(replies))] == list(replies.values())
 
 
 def test_situations(spark):
