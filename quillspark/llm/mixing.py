@@ -91,16 +91,15 @@ def key_of(source: str):
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: int = 16, frame: int = 1000, stop_share: float = 0.01, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: int = 16, frame: int = 1000, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows of ``docs`` with their place in the mix, as one struct column ``mix``.
 
     Fields: ``source_row`` (place in its own source, from 0), ``block``,
     ``release``, ``deadline``, ``slot`` (of the block), ``position`` (slot *
     block_docs + place in the block) and ``in_mix``.  The mix holds its target
-    weights up to the first slot in which a source with at least ``stop_share``
-    of the frame has nothing left; rows before it are ``in_mix``.  Later
-    rows are still placed by the same rule, so none is lost.  If no source has
-    such a share, nothing ends the mix and every row is ``in_mix``.
+    weights up to the first slot in which any source has nothing left; rows
+    before it are ``in_mix``.  Later rows are still placed by the same rule, so
+    none is lost.
 
     Within a source rows go by the MD5 of their id, a shuffle that is the same
     each time.  Null sources are one source.  Repeated rows get different
@@ -114,7 +113,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
     shares = saved(source_shares(sizes, weights, frame), rows=0)
     schedule = frame_schedule if totals["m"] <= MAX_SOURCES else long_schedule
     plan = saved(schedule(shares, frame), rows=frame)
-    ends = shares.where(F.col("share") >= stop_share * frame).withColumn("blocks", F.ceil(F.col("n") / block_docs))
+    ends = shares.withColumn("blocks", F.ceil(F.col("n") / block_docs))
     ends = ends.withColumn("j", (F.col("blocks") % F.col("share")).cast("int")).join(F.broadcast(plan), ["idx", "j"])
     horizon = ends.agg(F.min(F.floor(F.col("blocks") / F.col("share")) * frame + F.col("slot_in_frame")).alias("h")).first()["h"]
 
@@ -139,7 +138,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | float = 0.9, block_docs: in
         (before + F.ceil((F.col("j") + 1) * frame / F.col("share"))).cast("long").alias("deadline"),
         slot.cast("long").alias("slot"),
         (slot * block_docs + F.col("source_row") % block_docs).cast("long").alias("position"),
-        (F.lit(True) if horizon is None else slot < F.lit(horizon)).alias("in_mix"),
+        (slot < F.lit(horizon)).alias("in_mix"),
         F.col("share").alias("share"),
     )
     return rows.select("row", mixed.alias("mix"))

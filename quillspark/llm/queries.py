@@ -144,7 +144,7 @@ _MIXING_SQL = """
         SELECT t, done, a, list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN done[i] < a[i] AND done[i] * 1000 // a[i] <= t THEN ((done[i] + 1) * 1000 + a[i] - 1) // a[i] * 10000 + i - 1 END)) % 10000 AS k
         FROM f WHERE t < 1000)),
     g AS (SELECT pick AS idx, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM f WHERE pick >= 0),
-    h AS (SELECT min((n + 15) // 16 // share * 1000 + slot) AS h FROM s JOIN g ON g.idx = s.idx AND g.j = (n + 15) // 16 % share WHERE share >= 10),
+    h AS (SELECT min((n + 15) // 16 // share * 1000 + slot) AS h FROM s JOIN g ON g.idx = s.idx AND g.j = (n + 15) // 16 % share),
     r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % greatest(64, ((SELECT count(*) FROM documents) + 49999) // 50000), doc_id) - 1 AS source_row FROM documents),
     b AS (SELECT r.doc_id, r.source, source_row, source_row // 16 AS block, share, idx, source_row // 16 // share * 1000 AS before, source_row // 16 % share AS j FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source)
     SELECT doc_id, source, source_row, block, before + j * 1000 // share AS release, before + ((j + 1) * 1000 + share - 1) // share AS deadline, before + slot AS slot,

@@ -5,12 +5,16 @@ set the whole table's characters are counted in contexts of 0 to ``order``
 bytes; each context length is smoothed towards the next shorter one.  A URL's
 score is the difference of the two mean log-likelihoods per byte; the cut is
 calibrated on rule-decided URLs that weren't counted.
+
+Counts are a table with one row a context and one a context with its next
+byte, so they are exact and grow with the corpus.  It is never broadcast: a
+block of URLs asks for each count it needs once, by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,109 +62,131 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-@dataclass
-class Model:
-    """Hashed counts of two classes: [class, context length, slot]; slots bound their size whatever the input."""
-
-    order: int
-    bits: int
-    grams: np.ndarray
-    contexts: np.ndarray
-    cut: float = 0.0
-    strength: float = 2.0
-    known: bool = field(default=True)
+START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
+MOST_ORDER = 6
 
 
-_ODD = [np.uint64(2 * x + 1) for x in np.random.default_rng(7).integers(1, 2**62, 32)]
+def places(urls: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the context and of the context with its byte, at each byte (end mark included) and context length, and the number of the URL that each byte is in.
 
-
-def _slots(urls: list[bytes], order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the gram and the context at each byte and context length, and the number of the URL that each byte is in."""
-    pad = b"\0" * order
-    data = np.frombuffer(b"".join(pad + u + b"\x03" for u in urls), np.uint8).astype(np.uint64) + np.uint64(1)
-    sizes = np.array([len(u) + 1 + order for u in urls])
+    A key is the bytes themselves, then the context's length and which of the
+    two it is: whole numbers below 2^60, so none is shared.
+    """
+    pad = bytes([START]) * order
+    data = np.frombuffer(b"".join(pad + u + bytes([END]) for u in urls), np.uint8).astype(np.int64)
+    sizes = np.array([len(u) + 1 + order for u in urls], np.int64)
     of = np.repeat(np.arange(len(urls)), sizes)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(np.arange(len(data)) - first >= order)
-    shift, context = np.uint64(64 - bits), np.zeros(len(at), np.uint64)
-    grams, contexts = np.empty((order + 1, len(at)), np.int64), np.empty((order + 1, len(at)), np.int64)
+    context = np.zeros(len(at), np.int64)
+    contexts, grams = np.empty((order + 1, len(at)), np.int64), np.empty((order + 1, len(at)), np.int64)
     for k in range(order + 1):
         if k:
-            context = context + data[at - k] * _ODD[k]
-        salted = context + _ODD[31] * np.uint64(k + 1)
-        contexts[k] = ((salted * _ODD[29]) >> shift).astype(np.int64)
-        grams[k] = (((salted + data[at] * _ODD[0]) * _ODD[30]) >> shift).astype(np.int64)
-    return grams, contexts, of[at]
+            context = context | data[at - k] << 8 * (k - 1)
+        contexts[k] = context << 4 | k << 1
+        grams[k] = (context << 8 | data[at]) << 4 | k << 1 | 1
+    return contexts, grams, of[at]
+
+
+def _parts(urls: list[str | None], rows: int = 2000, size: int = 1 << 18) -> Iterator[list[bytes]]:
+    """URLs as bytes, so many rows or bytes at a time."""
+    part, n = [], 0
+    for u in urls:
+        part.append((u or "").encode())
+        n += len(part[-1])
+        if len(part) >= rows or n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def _counting(order: int, most: int = 4_000_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
 
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, inverse = np.unique(np.concatenate([k for k, _ in waiting]), return_inverse=True)
+            return keys, np.bincount(inverse, np.concatenate([c for _, c in waiting])).astype(np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys, c = summed()
+            for i in range(0, len(keys), 50_000):
+                k = keys[i : i + 50_000]
+                yield pa.record_batch([pa.array(k >> 1), pa.array((k & 1).astype(np.int32)), pa.array(c[i : i + 50_000])], ["key", "allow", "n"])
 
-def _counting(order: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 2, order + 1, 2**bits), np.int64)
         for batch in batches:
             urls, allow = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(urls), 2000):
-                for c in (0, 1):
-                    some = [u.encode() for u, a in zip(urls[i : i + 2000], allow[i : i + 2000], strict=True) if a == c]
-                    if some:
-                        for kind, slots in enumerate(_slots(some, order, bits)[:2]):
-                            for k in range(order + 1):
-                                counts[c, kind, k] += np.bincount(slots[k], minlength=2**bits)
-        flat = counts.reshape(-1)
-        there = np.flatnonzero(flat)
-        for i in range(0, len(there), 50_000):
-            yield pa.record_batch([pa.array(there[i : i + 50_000]), pa.array(flat[there[i : i + 50_000]])], ["slot", "n"])
+            for label in (0, 1):
+                for part in _parts([u for u, a in zip(urls, allow, strict=True) if a == label]):
+                    contexts, grams, _ = places(part, order)
+                    waiting.append(np.unique(np.concatenate([contexts, grams]).reshape(-1) << 1 | label, return_counts=True))
+                    n += len(waiting[-1][0])
+                    if n >= most:
+                        waiting = [summed()]
+                        n = len(waiting[0][0])
+                        if n >= most // 2:
+                            yield from rows()
+                            waiting, n = [], 0
+        if waiting:
+            yield from rows()
 
     return run
 
 
-def likelihoods(urls: list[bytes], model: Model) -> np.ndarray:
-    """Mean log-likelihood per byte (end mark included) under either class: [class, url]."""
-    grams, contexts, of = _slots(urls, model.order, model.bits)
+def counts(labelled: DataFrame, order: int = 5) -> DataFrame:
+    """``key, rejected, accepted``: how often each context, and each context with its next byte, stands in all of ``labelled`` (url, allow 0/1)."""
+    found = labelled.select("url", "allow").mapInArrow(_counting(order), "key long, allow int, n long")
+    side = lambda a: F.sum(F.when(F.col("allow") == a, F.col("n")).otherwise(0))
+    return found.groupBy("key").agg(side(0).alias("rejected"), side(1).alias("accepted"))
+
+
+def likelihoods(urls: list[bytes], keys: np.ndarray, table: np.ndarray, order: int, strength: float = 2.0) -> np.ndarray:
+    """Mean log-likelihood per byte (end mark included) under either class: [class, url]; ``table``: counts [class, key] of the sorted ``keys``."""
+    contexts, grams, of = places(urls, order)
+
+    def known(wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros((2, *wanted.shape))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, table[:, at], 0)
+
+    whole, here, n = known(contexts), known(grams), np.bincount(of, minlength=len(urls))
     out = np.zeros((2, len(urls)))
-    n = np.bincount(of, minlength=len(urls))
     for c in (0, 1):
         p = np.full(len(of), 1 / 256)
-        for k in range(model.order + 1):
-            p = (model.grams[c, k][grams[k]] + model.strength * p) / (model.contexts[c, k][contexts[k]] + model.strength)
-        out[c] = np.bincount(of, np.log(np.minimum(p, 1.0)), minlength=len(urls)) / n
+        for k in range(order + 1):
+            p = (here[c, k] + strength * p) / (whole[c, k] + strength)
+        out[c] = np.bincount(of, np.log(p), minlength=len(urls)) / n
     return out
 
 
-def _scoring(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            urls, out = batch.column(1).to_pylist(), []
-            for i in range(0, len(urls), 2000):
-                rejected, accepted = likelihoods([(u or "").encode() for u in urls[i : i + 2000]], model)
-                out.append(accepted - rejected)
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "ratio"])
+def _asking(order: int):
+    def run(rows: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        for part in _parts(rows["url"].to_pylist()):
+            contexts, grams, _ = places(part, order)
+            found = np.union1d(found, np.unique(np.concatenate([contexts, grams])))
+        return pa.table([pa.array(np.full(len(found), rows["block"][0].as_py(), np.int64)), pa.array(found)], ["block", "key"])
 
     return run
 
 
-def train(labelled: DataFrame, order: int = 5, bits: int = 16) -> Model:
-    """Count every row of ``labelled`` (url, allow 0/1, held boolean) that isn't held; calibrate the cut on those that are.
+def _scoring(order: int):
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        keys = known["key"].to_numpy().astype(np.int64)
+        at = np.argsort(keys)
+        table = np.stack([known[c].to_numpy()[at] for c in ("rejected", "accepted")]).astype(float)
+        scored, ratio = [], np.full(rows.num_rows, np.nan)
+        wanted = np.flatnonzero(rows["scored"].to_numpy(zero_copy_only=False)) if rows.num_rows else np.zeros(0, np.int64)
+        for part in _parts(rows["url"].take(pa.array(wanted)).to_pylist()):
+            rejected, accepted = likelihoods(part, keys[at], table, order)
+            scored.append(accepted - rejected)
+        if scored:
+            ratio[wanted] = np.concatenate(scored)
+        return rows.select(["id", "host", "path", "rule", "allow", "held"]).append_column("ratio", pa.array(ratio, mask=np.isnan(ratio)))
 
-    The driver gets at most 4 * (order + 1) * 2^bits counters, and a histogram
-    of 2 * 2001 bins.
-    """
-    from numpy import zeros
-
-    shape = (2, 2, order + 1, 2**bits)
-    flat = zeros(int(np.prod(shape)), np.float32)
-    counted = labelled.where("not held").select("url", "allow").mapInArrow(_counting(order, bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    flat[table["slot"].to_numpy()] = table["n"].to_numpy()
-    counts = flat.reshape(shape)
-    model = Model(order, bits, counts[:, 0], counts[:, 1])
-    model.known = bool(counts[0].any() and counts[1].any())
-    if model.known:
-        shared = labelled.sparkSession.sparkContext.broadcast(model)
-        scored = labelled.where("held").select("allow", "url").mapInArrow(_scoring(shared), "allow int, url string, ratio double")
-        bins = scored.groupBy("allow", F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("ratio") * 100))).cast("int").alias("bin")).count().collect()
-        model.cut = _best_cut(bins)
-    return model
+    return run
 
 
 def _best_cut(bins) -> float:
@@ -177,29 +203,38 @@ def _best_cut(bins) -> float:
     return float(cuts[best[np.argmin(np.abs(cuts[best]))]])
 
 
-def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", order: int = 5, bits: int = 16) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", order: int = 5, block_rows: int = 1 << 15) -> DataFrame:
     """One row per row of ``pages``: ``id, host, path, rule, verdict, ratio``.
 
     Null URLs and those without ``://`` have an empty host and path and fit no
     rule.  ``ratio`` is the log-likelihood difference less the calibrated cut,
-    for all rows; it decides where no rule fits (0 or more: allow).  If the
-    rules leave one of the two training sets empty, as in an empty table, those
-    rows are allowed and ``ratio`` is null.  Repeated rows give repeated
-    results; other columns aren't read.
+    where no rule fits (null urls as empty ones); it decides there (0 or more:
+    allow).  If the rules leave one of the two training sets empty, as in an
+    empty table, those rows are allowed and ``ratio`` is null.  Repeated rows
+    give repeated results; other columns aren't read; a URL of any length is
+    taken whole.
     """
+    if not 0 <= order <= MOST_ORDER:
+        raise ValueError(f"contexts of 0 to {MOST_ORDER} bytes")
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("n", rule_for(F.col("host"), F.col("path"), rules))
     allows = F.array(*[F.lit(int(r.allow)) for r in rules]) if rules else F.array().cast("array<int>")
     names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array().cast("array<string>")
-    rows = saved(rows.withColumn("rule", F.get(names, F.col("n"))).withColumn("allow", F.get(allows, F.col("n"))).drop("n"))
-    held = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    model = train(rows.where("allow is not null and url is not null").select("url", "allow", held.alias("held")), order, bits)
-    if not model.known:
-        scored = rows.withColumn("ratio", F.lit(None).cast("double"))
-    else:
-        shared = pages.sparkSession.sparkContext.broadcast(model)
-        scored = rows.select("id", "url", "host", "path", "rule", "allow")
-        scored = scored.mapInArrow(_scoring(shared), ", ".join(f"`{c}` {t}" for c, t in scored.dtypes) + ", ratio double").withColumn("ratio", F.col("ratio") - F.lit(model.cut))
-    allow = F.coalesce(F.col("allow"), F.when(F.coalesce(F.col("ratio"), F.lit(0.0)) >= 0, 1).otherwise(0))
-    return scored.select("id", "host", "path", "rule", F.when(allow == 1, "allow").otherwise("block").alias("verdict"), "ratio")
+    rows = rows.withColumn("rule", F.get(names, F.col("n"))).withColumn("allow", F.get(allows, F.col("n"))).drop("n")
+    # a fifth of the decided URLs calibrates the cut; a block is a run of rows of one partition
+    rows = rows.withColumn("held", F.col("allow").isNotNull() & (F.crc32(F.col("url").cast("binary")) % 5 == 0))
+    rows = saved(rows.withColumn("scored", F.col("allow").isNull() | F.col("held")).withColumn("block", F.floor(F.monotonically_increasing_id() / block_rows)))
+    labelled = rows.where("allow is not null and not held")
+    kinds = dict(rows.dtypes)
+    if labelled.agg(F.count_distinct("allow")).first()[0] < 2:
+        allow = F.coalesce("allow", F.lit(1))
+        return rows.select("id", "host", "path", "rule", F.when(allow == 1, "allow").otherwise("block").alias("verdict"), F.lit(None).cast("double").alias("ratio"))
+    asked = rows.where("scored").select("block", "url").groupBy("block").applyInArrow(_asking(order), "block long, key long")
+    known = asked.join(counts(labelled, order), "key").groupBy("block")
+    schema = f"id {kinds['id']}, host string, path string, rule string, allow int, held boolean, ratio double"
+    scored = saved(rows.groupBy("block").cogroup(known).applyInArrow(_scoring(order), schema))
+    bins = scored.where("held").groupBy("allow", F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("ratio") * 100))).cast("int").alias("bin")).count().collect()
+    ratio = F.when(F.col("allow").isNull(), F.col("ratio") - F.lit(_best_cut(bins)))
+    allow = F.coalesce(F.col("allow"), F.when(ratio >= 0, 1).otherwise(0))
+    return scored.select("id", "host", "path", "rule", F.when(allow == 1, "allow").otherwise("block").alias("verdict"), ratio.alias("ratio"))

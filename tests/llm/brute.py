@@ -85,6 +85,42 @@ def url_rule(host, path, rules):
     return max(fits, key=lambda r: len(r.name), default=None)
 
 
+def url_ratios(urls, labels, order=5, strength=2.0):
+    """Ratio of each URL without a label, by plain counts in dictionaries; labels: 1, 0 or None."""
+    held = [a is not None and crc(u) % 5 == 0 for u, a in zip(urls, labels, strict=True)]
+
+    def grams(u):
+        line = [-1] * order + list((u or "").encode()) + [-2]
+        for i in range(order, len(line)):
+            yield [(tuple(line[i - k : i]), line[i]) for k in range(order + 1)]
+
+    seen = [defaultdict(int), defaultdict(int)]
+    for u, a, h in zip(urls, labels, held, strict=True):
+        if a is not None and not h:
+            for place in grams(u):
+                for context, byte in place:
+                    seen[a][context] += 1
+                    seen[a][context, byte] += 1
+
+    def mean(u, c):
+        total, n = 0.0, 0
+        for place in grams(u):
+            p = 1 / 256
+            for context, byte in place:
+                p = (seen[c].get((context, byte), 0) + strength * p) / (seen[c].get(context, 0) + strength)
+            total, n = total + np.log(p), n + 1
+        return total / n
+
+    ratios = [mean(u, 1) - mean(u, 0) for u in urls]
+    rows = [(min(1000, max(-1000, int(np.floor(r * 100)))), a) for r, a, h in zip(ratios, labels, held, strict=True) if h]
+    bad, good = [b for b, a in rows if not a], [b for b, a in rows if a]
+    cut = 0.0
+    if bad and good:
+        right = {c: round(sum(b < c for b in bad) / len(bad) + sum(b >= c for b in good) / len(good), 10) for c in range(-1000, 1002)}
+        cut = min((c for c in right if right[c] == max(right.values())), key=lambda c: (abs(c), c)) / 100
+    return [None if a is not None else r - cut for r, a in zip(ratios, labels, strict=True)]
+
+
 def pfair(shares, frame):
     """Slots of one frame by earliest deadline first over released blocks."""
     done, out = [0] * len(shares), []

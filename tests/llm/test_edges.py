@@ -123,12 +123,18 @@ def test_simhash_large_buckets_lose_no_link(spark):
 
 def test_urls(spark):
     data = [None, "", "no scheme", "HTTP://A.ORG", "http://x.org/", "https://Deep.Example.ORG/es/1?q=http://b", "http://example.org/en/1", "http://notexample.org/es/", "http://com/de/", "http://a.com/fr/x#y", "http://a.net/p\nq"] + [f"http://s{i}.org/a{i}" for i in range(30)] + [f"http://s{i}.com/de/{i}" for i in range(30)]
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(data)], "page_id long, url string, host string")
-    for r in urls.judge_urls(pages).collect():
-        host, path = brute.url_parts(data[r["id"]])
-        rule = brute.url_rule(host, path, urls.RULES)
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.name)
-        assert r["verdict"] == ("allow" if (rule.allow if rule else r["ratio"] >= 0) else "block")
+    data += data[-5:] + ["http://q.net/" + "x" * 100_000]  # repeated rows, a very long one
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(data)], "page_id long, url string, host string, block string")
+    rules = [brute.url_rule(*brute.url_parts(u), urls.RULES) for u in data]
+    want = brute.url_ratios(data, [r and int(r.allow) for r in rules])
+    for options in ({}, {"block_rows": 3}):
+        rows = urls.judge_urls(pages, **options).collect()
+        assert len(rows) == len(data)
+        for r in rows:
+            rule, ratio = rules[r["id"]], want[r["id"]]
+            assert (r["host"], r["path"], r["rule"]) == (*brute.url_parts(data[r["id"]]), rule and rule.name)
+            assert r["ratio"] == (None if rule else pytest.approx(ratio, abs=1e-9))
+            assert r["verdict"] == ("allow" if (rule.allow if rule else ratio >= 0) else "block")
     assert {r["verdict"] for r in urls.judge_urls(pages.where("page_id < 4")).collect()} == {"allow"}
     assert urls.judge_urls(pages.where("page_id < 0")).count() == 0
 
@@ -142,7 +148,7 @@ def test_mixing(odd):
     assert sum(shares) == 50
     assert brute.deviation(picks, shares, 50) < 1
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
-    mixed = mixing.mixed_documents(odd, block_docs=2, frame=50, stop_share=0.2)
+    mixed = mixing.mixed_documents(odd, block_docs=2, frame=50)
     assert mixed.columns == odd.columns
 
 

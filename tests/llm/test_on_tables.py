@@ -44,13 +44,15 @@ def test_simhash(spark, sf, docs):
 
 def test_url_filter(spark, sf):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    rules = {i: brute.url_rule(*brute.url_parts(u), urls.RULES) for i, u in pages.items()}
+    want = dict(zip(pages, brute.url_ratios(list(pages.values()), [rules[i] and int(rules[i].allow) for i in pages]), strict=True))
     rows = queries.op3_url_filter(spark, sf).collect()
     assert len(rows) == len(pages)
     for r in rows:
-        host, path = brute.url_parts(pages[r["page_id"]])
-        rule = brute.url_rule(host, path, urls.RULES)
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.name)
-        assert r["verdict"] == ("allow" if (rule.allow if rule else r["ratio"] >= 0) else "block")
+        rule, ratio = rules[r["page_id"]], want[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"]) == (*brute.url_parts(pages[r["page_id"]]), rule and rule.name)
+        assert r["ratio"] == (None if rule else pytest.approx(ratio, abs=1e-9))
+        assert r["verdict"] == ("allow" if (rule.allow if rule else ratio >= 0) else "block")
 
 
 def test_mixing(spark, sf, docs):
