@@ -42,9 +42,24 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int =
     votes = np.zeros(BITS, np.int64)
     for i in range(0, len(stops), block):
         some = stops[i : i + block]
-        h = np.array([digest(view[s:e], seed) for s, e in zip(starts[i : i + block], some, strict=False)], ">u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(stops)).tobytes(), "big")
+        votes += _votes(np.array([digest(view[s:e], seed) for s, e in zip(starts[i : i + block], some, strict=False)], np.uint64))
+    return _bits(votes, len(stops))
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def _bits(votes: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+
+
+def majority(hashes: np.ndarray, block: int = 8192) -> int:
+    """The fingerprint of a text's hashes, repeats included; none: zero."""
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), block):
+        votes += _votes(hashes[i : i + block])
+    return _bits(votes, len(hashes))
 
 
 def _fingerprints(shingle: int, seed: int):

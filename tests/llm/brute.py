@@ -62,6 +62,15 @@ def simhash(text, k=3):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UP))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) else 0.0
+
+
 def near_texts(rows, radius=2):
     """rows: (id, text). {id: (fingerprint, component)}."""
     prints = {i: simhash(t) for i, t in rows}

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator and stage."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -316,22 +317,52 @@ def test_empty_tables(nothing):
     assert bpe.encode(nothing, PATH).count() == 0
 
 
+def _stage_results(docs):
+    """What each stage makes of documents (doc_id, text, lang, source, ...), stage by stage, from plain versions."""
+    texts = {r["doc_id"]: r["text"] for r in docs}
+    sets = {i: brute.shingles(t) for i, t in texts.items()}
+    links = [(i, j) for i in sets for j in sets if j < i and (sets[i] == sets[j] or brute.jaccard(sets[i], sets[j]) >= 0.8)]
+    of = brute.components(set(sets), links)
+    return sorted({of[i] for i in of})
+
+
 def test_pipeline_stages(spark, odd, nothing, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
+    language_id, near_dedup, mix_sources, encode_decode = (f for _, f in corpus_pipeline.STAGES)
+    library = Tokenizer.from_file(PATH)
     for docs in (documents, odd, nothing):
-        columns = docs.columns
-        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, docs, sf)
-            rows = out.collect()
-            if i < len(corpus_pipeline.STAGES) - 1:
-                assert out.columns == columns
-                assert not Counter(r["doc_id"] for r in rows) - Counter(r["doc_id"] for r in docs.select("doc_id").collect())
-                docs = spark.createDataFrame(rows, out.schema) if rows else spark.createDataFrame([], out.schema)
+        columns, source = docs.columns, docs.collect()
+        kept = language_id(spark, docs, sf)
+        assert kept.columns == columns
+        model = langid.train(docs.where(~langid.held_out("doc_id")), "doc_id")
+        good = [r for r in source if any(c.isalpha() for c in r["text"] or "") and model.predict(r["text"])[1] >= 0.4] if model else []
+        rows = kept.collect()
+        assert Counter(map(str, rows)) == Counter(map(str, good))
+        kept = spark.createDataFrame(rows, docs.schema)
+        rows = near_dedup(spark, kept, sf).collect()
+        assert sorted(r["doc_id"] for r in rows) == _stage_results(good)
+        assert {str(r) for r in rows} <= set(map(str, good))
+        kept = spark.createDataFrame(rows, docs.schema)
+        mixed = mix_sources(spark, kept, sf)
+        assert mixed.columns == columns
+        order = [str(r) for r in mixed.collect()]
+        assert Counter(order) == Counter(map(str, rows))
+        places = [str(r["row"]) for r in mixing.mix(kept).orderBy("mix.position").collect()]
+        assert order == places
+        got = {r["doc_id"]: r for r in encode_decode(spark, mixed, sf).collect()}
+        assert got.keys() == {r["doc_id"] for r in rows}
+        for r in rows:
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            d = got[r["doc_id"]]
+            assert (d["n_tokens"], d["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+            assert d["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_pipeline_run(spark, sf):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    rows = corpus_pipeline.run(spark, sf).collect()
-    library = Tokenizer.from_file(PATH)
-    assert len({r["doc_id"] for r in rows}) == len(rows) > 0
-    assert all(r["n_tokens"] == len(library.encode(docs[r["doc_id"]], add_special_tokens=False).ids) for r in rows[:50])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = docs
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, want, sf)
+        want = spark.createDataFrame(rows.collect(), rows.schema)
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, want.collect()))
+    assert want.count() > 0
