@@ -197,6 +197,21 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(word) <= 3, 1).otherwise(F.greatest(F.lit(1), groups))
 
 
+def total_syllables(words: Column) -> Column:
+    """Sum of T18 over lower-case words without blanks, by four counts over the line of all longer ones.
+
+    Vowel groups, less those of words with an earlier group and a last e, and
+    one more for each consonant before a last le and each word without vowels.
+    """
+    long_ones = F.filter(words, lambda w: F.length(w) > 3)
+
+    def counted(some: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(some, "  "), F.lit(" "))
+        return numbers.let(line, lambda t: count_of(t, "[aeiouy]+") - count_of(t, "[aeiouy][^aeiouy ][^ ]*e ") + count_of(t, "[^aeiouy ]le ") + count_of(t, " [^aeiouy ]+ "))
+
+    return numbers.let(long_ones, lambda some: F.size(words) - F.size(some) + counted(some))
+
+
 def normalized(t: Column) -> Column:
     """Lower case, white space collapsed, trimmed."""
     return strip(F.regexp_replace(F.lower(t), r"(?U)\s+", " "))

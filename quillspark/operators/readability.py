@@ -30,7 +30,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.withColumn("_words", text.readability_words(t)).withColumn("_sentences", text.sentences(t))
     rows = rows.withColumn("_lengths", lengths(F.col("_sentences"))).withColumn("_units", lengths(text.staccato_units(t)))
     rows = rows.withColumn("_paragraphs", lengths(text.plain_paragraphs(t))).withColumn("_content", text.readability_content(F.col("_words")))
-    rows = rows.withColumn("_syllables", F.aggregate("_words", F.lit(0), lambda a, w: a + text.syllables(w)))
+    rows = rows.withColumn("_syllables", text.total_syllables(F.col("_words")))
     rows = rows.withColumn("_freq", _frequencies(F.col("_content")))
     w, s, n = F.size("_words"), F.size("_sentences"), F.col("_lengths")
     ease, grade = flesch(w, s, F.col("_syllables"))
@@ -109,7 +109,7 @@ def by_source(docs: DataFrame, by: str = "source", text_col: str = "text") -> Da
     """Flesch scores of whole sources from summed counts: one partial and one final aggregation."""
     t = F.col(text_col)
     rows = docs.select(by, text.readability_words(t).alias("w"), F.size(text.sentences(t)).alias("s"))
-    rows = rows.select(by, "s", F.size("w").alias("n"), F.aggregate("w", F.lit(0), lambda a, w: a + text.syllables(w)).alias("y"))
+    rows = rows.select(by, "s", F.size("w").alias("n"), text.total_syllables(F.col("w")).alias("y"))
     sums = rows.groupBy(by).agg(F.count("*").alias("docs"), F.sum("s").alias("sentences"), F.sum("n").alias("words"), F.sum("y").alias("syllables"))
     ease, grade = flesch(F.col("words"), F.col("sentences"), F.col("syllables"))
     return sums.select(by, "docs", "sentences", "words", "syllables", F.round(ease, 3).alias("reading_ease"), F.round(grade, 3).alias("grade"))

@@ -58,13 +58,16 @@ def char3(docs: DataFrame, by: str, text_col: str = "text", top: int | None = TO
 
 
 def function_frequencies(docs: DataFrame, by: str, text_col: str = "text") -> DataFrame:
-    """A1: ``entity, key, value``: share of each function word that occurs, among all T5 words."""
-    words = docs.select(F.col(by).alias("entity"), text.style_words(F.col(text_col)).alias("w"))
-    wanted = text.words_in(function_words())
-    counted = words.select("entity", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(wanted, x)).alias("w"))
-    totals = counted.groupBy("entity").agg(F.sum("n").alias("total"))
-    hits = counted.select("entity", F.explode("w").alias("key")).groupBy("entity", "key").agg(F.count("*").alias("n"))
-    return hits.join(totals, "entity").select("entity", "key", (F.col("n") / F.greatest("total", F.lit(1))).alias("value"))
+    """A1: ``entity, key, value``: share of each function word that occurs, among all T5 words.
+
+    Words are exploded once and counted before the shuffle, all others as one
+    key; so an entity has a row for each function word and one more.
+    """
+    words = docs.select(F.col(by).alias("entity"), F.explode(text.style_words(F.col(text_col))).alias("w"))
+    key = F.when(F.col("w").isin(function_words()), F.col("w"))
+    n = words.groupBy("entity", key.alias("key")).agg(F.count("*").alias("n"))
+    shares = n.withColumn("value", F.col("n") / F.sum("n").over(Window.partitionBy("entity")))
+    return shares.where("key is not null").select("entity", "key", "value")
 
 
 def background(frequencies: DataFrame, entities: DataFrame) -> DataFrame:

@@ -10,15 +10,20 @@ from quillspark.plans import rules
 from quillspark.queries import sql
 from quillspark.queries.base import altered, altered_sql, documents, query, seeded, seeded_sql, table
 
-#: Literals whose SQL is written out: plain words at both edges, not repeating themselves.
-SQL_PHRASES = [r for r in rules.catalog() if r.kind == "phrase" and r.category in ("significance_inflation", "ai_vocabulary", "jargon", "filler", "vague_attribution", "conclusion_scaffold", "promotional")]
+#: All literals.
+SQL_PHRASES = [r for r in rules.catalog() if r.kind == "phrase"]
+
+
+def _doubled(phrase: str) -> str:
+    """A literal in a text whose separators are doubled, so that neighbours don't use up each other's edge."""
+    return "".join(c if c.isascii() and (c.isalnum() or c in "_-") else c + c for c in phrase)
 
 
 def _bounded(r: rules.Rule) -> str:
-    """A literal with its boundary classes consumed; separators are doubled beforehand so that neighbours aren't lost."""
+    """A literal with its boundary classes consumed."""
     left = "(?:^|[^a-z0-9_-])" if r.pattern[0].isalnum() else ""
     right = "(?:$|[^a-z0-9_-])" if r.pattern[-1].isalnum() else ""
-    return left + "".join("  " if c == " " else "\\" + c if c in ".+*?()[]|^$\\" else c for c in r.pattern) + right
+    return left + "".join("\\" + c if c in ".+*?()[]|^$\\" else c for c in _doubled(r.pattern)) + right
 
 
 def _seeded(spark, sf, *more):
@@ -28,8 +33,8 @@ def _seeded(spark, sf, *more):
 @query(
     f"""
     WITH d AS (SELECT doc_id, regexp_replace(lower(text), '([^a-z0-9_-])', '\\1\\1', 'g') AS t FROM ({seeded_sql('doc_id')})),
-    r AS (SELECT unnest({sql.listed(r.category for r in SQL_PHRASES)}) AS category, unnest({sql.listed(_bounded(r) for r in SQL_PHRASES)}) AS pattern, unnest({sql.listed(r.pattern for r in SQL_PHRASES)}) AS phrase),
-    h AS (SELECT doc_id, category, len(regexp_extract_all(t, pattern)) AS n FROM d JOIN r ON contains(t, replace(phrase, ' ', '  ')))
+    r AS (SELECT unnest({sql.listed(r.category for r in SQL_PHRASES)}) AS category, unnest({sql.listed(_bounded(r) for r in SQL_PHRASES)}) AS pattern, unnest({sql.listed(_doubled(r.pattern) for r in SQL_PHRASES)}) AS phrase),
+    h AS (SELECT doc_id, category, len(regexp_extract_all(t, pattern)) AS n FROM d JOIN r ON contains(t, phrase))
     SELECT doc_id, category, sum(n)::BIGINT AS n FROM h WHERE n > 0 GROUP BY doc_id, category
     """
 )
@@ -42,7 +47,13 @@ def phrase_counts_by_category(spark, sf):
 def phrase_scan(spark, sf):
     """All rules over all documents: violations by rule."""
     rows = detect.scan(_seeded(spark, sf)).select(F.explode_outer("violations").alias("v")).where("v is not null")
-    return rows.groupBy(F.col("v")["rule_id"].alias("rule_id"), F.col("v")["category"].alias("category"), F.col("v")["severity"].alias("severity")).agg(F.count("*").alias("n"), F.min("v.line_number").alias("first_line"))
+    return rows.groupBy(F.col("v")["rule_id"].alias("rule_id"), F.col("v")["category"].alias("category"), F.col("v")["severity"].alias("severity"), F.col("v")["suggestion"].alias("suggestion")).agg(F.count("*").alias("n"), F.min("v.line_number").alias("first_line"))
+
+
+@query()
+def severity_gate(spark, sf):
+    """Documents by what the gate over all their findings says."""
+    return detect.severity_gate(detect.scan(_seeded(spark, sf))).groupBy("gate").agg(F.count("*").alias("n"), F.sum("hard").alias("hard"), F.sum("soft").alias("soft"))
 
 
 @query()

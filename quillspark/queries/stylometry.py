@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import card, style
+from quillspark.plans.scratch import checkpointed
 from quillspark.queries import sql
 from quillspark.queries.base import documents, query, seeded, seeded_sql, table
 
@@ -112,8 +113,8 @@ _DELTA = f"""
 def burrows_delta(spark, sf):
     """Cosine of function-word z-vectors between all sources."""
     docs = documents(spark, sf)
-    f, e = style.function_frequencies(docs, "source"), docs.select(F.col("source").alias("entity"))
-    b = style.background(f, e).withColumn("mean", F.col("mean"))
+    f, e = checkpointed(style.function_frequencies(docs, "source")), docs.select(F.col("source").alias("entity")).distinct()
+    b = style.background(f, e)
     return style.delta(f, e, f, e, b, 200).select("profile", "candidate", F.round("distance", 5).alias("distance"))
 
 

@@ -291,6 +291,14 @@ def test_severity_gate(spark):
     assert {r["doc_id"]: r["gate"] for r in detect.severity_gate(flagged, flags=F.col("flags")).collect()} == {1: "fail", 2: "review", 3: "review", 4: "review"}
 
 
+def test_syllables_of_a_line_are_those_of_its_words(spark):
+    words = "a the mile little table e eee ale apple bottle rhythm hmm tsktsk idea queue free agree cafe psst 1234 x-ray re-use naïve the-le stle whole ugly every aisle".split()
+    df = spark.createDataFrame([(words,), ([],), (words * 3,), *(([w],) for w in words)], "w array<string>")
+    single = F.aggregate("w", F.lit(0), lambda a, w: a + text.syllables(w))
+    for r in df.select("w", text.total_syllables(F.col("w")).alias("line"), single.alias("each")).collect():
+        assert r["line"] == r["each"], r["w"]
+
+
 def test_statistics():
     assert stats.sign_flip([], 1) == 1.0
     assert stats.sign_flip([0.1] * 8, 7) == pytest.approx(2 / 256)
