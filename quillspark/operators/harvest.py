@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,24 +123,64 @@ def duplicate_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.unionByName(copies)
 
 
-def resolve_greedy(ids: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _groups(edges: DataFrame) -> DataFrame:
+    """``id, group``: the smallest id reachable, for every end of an edge; the way to it halves at least with each round."""
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    state = checkpointed(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("group")).withColumnRenamed("a", "id"))
+    while True:
+        near = both.join(state.select(F.col("id").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("near"))
+        lower = checkpointed(state.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("group").alias("old"), F.least("group", "near").alias("group")))
+        up = lower.select(F.col("id").alias("group"), F.col("group").alias("top"))
+        after = checkpointed(lower.join(up, "group").select("id", "old", F.col("top").alias("group")))
+        if not after.where("old <> group").limit(1).count():
+            return after.select("id", "group")
+        state = after.select("id", "group")
+
+
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """Decisions of one group of edges, in order of id."""
+    earlier = defaultdict(list)
+    for a, b in zip(rows["a"], rows["b"], strict=True):
+        earlier[b].append(a)
+    kept: dict = {}
+    for i in sorted(set(rows["a"]) | set(rows["b"])):
+        kept[i] = not any(kept[a] for a in earlier[i])
+    return pd.DataFrame({"id": list(kept), "kept": list(kept.values())})
+
+
+def resolve_greedy(ids: DataFrame, edges: DataFrame, most_edges: int = 100_000) -> DataFrame:
     """``id, kept``, as if rows were taken in order of id and dropped for an edge to a kept earlier one.
 
-    Each round keeps every undecided row without an undecided or kept earlier
-    neighbour and drops those with a kept one; rounds are bounded by the
-    longest chain of dependent decisions.  Decisions are checkpointed.
+    Edges fall into connected groups.  A group of up to ``most_edges`` edges is
+    decided in one task, in order of id.  Larger ones are decided in rounds:
+    each keeps every undecided row without an undecided or kept earlier
+    neighbour and drops those with a kept one; the smallest undecided row is
+    decided every time, so the rounds end.  Decisions are checkpointed.
     """
-    state = checkpointed(ids.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    later = checkpointed(edges.select("a", "b").distinct())
-    for _ in range(max_rounds):
-        view = later.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
+    kind = dict(ids.dtypes)["id"]
+    edges = checkpointed(edges.select("a", "b").where("a < b").distinct())
+    of = _groups(edges)
+    grouped = edges.join(of.select(F.col("id").alias("a"), "group"), "a")
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
+    grouped = checkpointed(grouped.join(sizes, "group"))
+    decided = checkpointed(grouped.where(F.col("n") <= most_edges).groupBy("group").applyInPandas(_folded, f"id {kind}, kept boolean"))
+    rest = grouped.where(F.col("n") > most_edges).select("a", "b")
+    if rest.limit(1).count():
+        decided = decided.unionByName(_by_rounds(rest))
+    return ids.select("id").distinct().join(decided, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    state = checkpointed(ends.withColumn("kept", F.lit(None).cast("boolean")))
+    while True:
+        view = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         facts = view.groupBy("b").agg(F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("open"))
         after = state.join(facts.withColumnRenamed("b", "id"), "id", "left")
         decided = F.coalesce(F.col("kept"), F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True)))
         state = checkpointed(after.select("id", decided.alias("kept")))
         if not state.where("kept is null").limit(1).count():
             return state
-    raise RuntimeError(f"decisions still open after {max_rounds} rounds")
 
 
 # --- classification and ranking -------------------------------------------------------------------------------------

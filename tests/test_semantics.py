@@ -1,6 +1,7 @@
 """Behaviour that is easy to get wrong, on small texts of our own."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,6 +300,21 @@ def test_syllables_of_a_line_are_those_of_its_words(spark):
         assert r["line"] == r["each"], r["w"]
 
 
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_greedy_decisions(spark, most):
+    rng = random.Random(3)
+    n = 300 if most > 5 else 8
+    edges = [(i, i + 1) for i in range(n)] + [(1000 + i, 1000 + j) for i in range(12) for j in range(i) if rng.random() < 0.3]
+    edges = [(min(e), max(e)) for e in edges] + [(2000, 2001)]
+    ids = sorted({x for e in edges for x in e} | {5000, 5001})
+    want = {}
+    for i in ids:
+        want[i] = not any(want[a] for a, b in edges if b == i)
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = harvest.resolve_greedy(spark.createDataFrame([(i,) for i in ids], "id long"), table, most).collect()
+    assert {r["id"]: r["kept"] for r in got} == want
+
+
 def test_statistics():
     assert stats.sign_flip([], 1) == 1.0
     assert stats.sign_flip([0.1] * 8, 7) == pytest.approx(2 / 256)
