@@ -68,6 +68,21 @@ def test_near_dedup_by_exact_similarity(spark, sf):
     assert kept == set(want.values()) and 40 <= len(kept) < 160
 
 
+def test_unconnected_members_of_a_bucket_are_compared_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    common, sets = rng.integers(0, 2**62, 300), []
+    for i in range(60):  # all share a part, and every third one is a near copy of the one before
+        own = rng.integers(0, 2**62, 60 + 30 * (i % 5)) if i % 3 or not sets else np.array(sets[-1][300 + 5 :])
+        sets.append(np.unique(np.concatenate([common[: 200 + i % 40], own])).tolist() if i % 3 else [*sets[-1][:-4], i] if sets else common.tolist())
+    table = spark.createDataFrame([(i, sorted(set(s))) for i, s in enumerate(sets)], "fp long, grams array<long>")
+    there = table.selectExpr("7 as key", "fp")
+    want = brute.components(set(range(60)), [(i, j) for i in range(60) for j in range(i) if brute.jaccard(set(sets[i]), set(sets[j])) >= 0.8])
+    assert 1 < len(set(want.values())) < 60
+    for block in (7, 256):
+        links = [(r["a"], r["b"]) for r in jaccard._in_blocks(there, table, 0.8, block).collect()]
+        assert brute.components(set(range(60)), links) == want
+
+
 @pytest.mark.parametrize("rows", [1000, 10**7, 10**9])
 def test_embedding_pairs_at_the_threshold_share_a_bucket(rows):
     tables, hashes = crosspoly.table_plan(rows, 64, 0.9)
