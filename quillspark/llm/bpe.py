@@ -202,7 +202,7 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
-def _splitting(path: str, texts: bool, most_words: int, most_text: int, chunk: int = 1 << 20):
+def _splitting(path: str, texts: bool, most_words: int, most_text: int, chunk: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, at, nth = loaded(path), TaskContext.get().partitionId(), 0
         numbers, read, ids, places, n, done = Numbers(), 0, [], [], 0, []
