@@ -11,6 +11,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half away from zero after scaling, as SQL's ``round`` on doubles: 29.849999999999998 is 29.9 at one place.  ``F.round`` goes by the decimal digits of ``x`` itself."""
+    scale = F.lit(10.0**places)
+    return F.round(x.cast("double") * scale, 0) / scale
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double"))
 

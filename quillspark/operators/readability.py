@@ -62,8 +62,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
         zero = lambda x, kind="double": F.when(empty, F.lit(0).cast(kind)).otherwise(x.cast(kind))
         return F.struct(
-            zero(F.round(m["grade"], 1)).alias("flesch_kincaid_grade"),
-            zero(F.round(m["ease"], 1)).alias("flesch_reading_ease"),
+            zero(numbers.rounded(m["grade"], 1)).alias("flesch_kincaid_grade"),
+            zero(numbers.rounded(m["ease"], 1)).alias("flesch_reading_ease"),
             zero(s, "int").alias("sentence_count"),
             zero(w, "int").alias("word_count"),
             zero(F.round(m["average"], 1)).alias("avg_sentence_length"),

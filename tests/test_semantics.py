@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,16 @@ def test_readability_of_nothing(spark):
     assert rows[0]["readability"]["word_count"] == 0
 
 
+def test_readability_rounds_as_its_sql(spark):
+    words = ["paper"] * 23 + ["banana"] * 23  # 115 syllables: a grade of 31.849999999999998
+    r = readability.measure(spark.createDataFrame([(" ".join(words),)], "text string")).first()["readability"]
+    assert (r["word_count"], r["sentence_count"], r["syllable_count"]) == (46, 1, 115)
+    assert r["flesch_kincaid_grade"] == 31.9
+    values = [31.849999999999998, 29.849999999999998, -0.05, 0.25, -1.349999, 12.0, 1e17, None]
+    got = [x["y"] for x in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", numbers.rounded(F.col("x"), 1).alias("y")).orderBy("i").collect()]
+    assert got == [duckdb.execute("select round(?::DOUBLE, 1)", [x]).fetchone()[0] for x in values]
+
+
 def test_top_words_break_ties_by_first_place(spark):
     r = readability.measure(spark.createDataFrame([("Zebra apple zebra apple mango.",)], "text string")).first()["readability"]
     assert [(x["word"], x["n"]) for x in r["top_repeated_words"]] == [("zebra", 2), ("apple", 2), ("mango", 1)]
