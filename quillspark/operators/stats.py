@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -24,11 +25,30 @@ def percentile(ordered: np.ndarray, q: float) -> float:
     return float(np.percentile(ordered, 100 * q)) if len(ordered) else 0.0
 
 
-@lru_cache(64)
-def resamples(n: int, seed: int) -> np.ndarray:
-    """The seeded draws for samples of one size; groups of that size share them."""
-    rng = random.Random(seed)
-    return np.array([[rng.randrange(n) for _ in range(n)] for _ in range(RESAMPLES)])
+def _generator(seed: int) -> np.random.MT19937:
+    """The generator of ``random.Random(seed)``, whose 32-bit words come in arrays."""
+    *key, at = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    return words
+
+
+def resamples(n: int, seed: int, cells: int = 1 << 19) -> Iterator[np.ndarray]:
+    """``RESAMPLES`` rows of n draws of ``random.Random(seed).randrange(n)``, in blocks of about ``cells`` draws.
+
+    ``randrange`` takes the leading bits of a word, and the next word while they are n or more.
+    """
+    words, shift, rows = _generator(seed), np.uint64(32 - n.bit_length()), max(1, cells // n)
+    rest = np.empty(0, np.intp)
+    for first in range(0, RESAMPLES, rows):
+        need = n * min(rows, RESAMPLES - first)
+        parts = [rest]
+        while (have := sum(map(len, parts))) < need:
+            drawn = words.random_raw(max(1024, (need - have) * 2**n.bit_length() // n)) >> shift
+            parts.append(drawn[drawn < n].astype(np.intp))
+        rest = np.concatenate(parts)
+        yield rest[:need].reshape(-1, n)
+        rest = rest[need:]
 
 
 def bca(sample: list[float], seed: int, alpha: float = 0.05) -> tuple[float, float]:
@@ -37,7 +57,7 @@ def bca(sample: list[float], seed: int, alpha: float = 0.05) -> tuple[float, flo
     if n < 2:
         return 0.0, 0.0
     x = np.array(sample)
-    boot = np.sort(x[resamples(n, seed)].mean(1))
+    boot = np.sort(np.concatenate([x[draws].mean(1) for draws in resamples(n, seed)]))
     below = float((boot < x.mean()).mean())
     if not 0 < below < 1:
         return percentile(boot, alpha / 2), percentile(boot, 1 - alpha / 2)
@@ -58,11 +78,74 @@ def sign_patterns(n: int) -> np.ndarray:
     return 1 - 2 * (np.arange(2**n)[:, None] >> np.arange(n) & 1)
 
 
-@lru_cache(64)
-def seeded_signs(n: int, seed: int) -> np.ndarray:
-    """The seeded flips for samples of one size, one row each; groups of that size share them."""
-    rng = random.Random(seed)
-    return np.array([[1 if rng.random() < 0.5 else -1 for _ in range(n)] for _ in range(FLIPS)], np.int8)
+class Flips:
+    """Bits of ``random.Random(seed).random() >= 0.5`` in order, packed; samples of all sizes read the same ones.
+
+    ``random`` takes two words, and the leading bit of the first says which
+    half it falls in.  The first ``most`` pieces are kept, later ones are drawn
+    again for each use, so memory is bounded at every size.
+    """
+
+    def __init__(self, seed: int, most: int = 32, size: int = 1 << 20):
+        self.words, self.most, self.size, self.kept = _generator(seed), most, size, []
+
+    def _draw(self, words: np.random.MT19937) -> np.ndarray:
+        pieces = [np.packbits(words.random_raw(1 << 20)[::2] >> np.uint64(31) > 0) for _ in range(self.size >> 16)]
+        return np.concatenate(pieces)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        i = 0
+        while i < self.most:
+            if i == len(self.kept):
+                self.kept.append(self._draw(self.words))
+            yield self.kept[i]
+            i += 1
+        words = np.random.MT19937()
+        words.state = self.words.state
+        while True:
+            yield self._draw(words)
+
+    def blocks(self, size: int) -> Iterator[np.ndarray]:
+        """The bytes in blocks of ``size``, without end."""
+        rest, pieces = np.empty(0, np.uint8), iter(self)
+        while True:
+            parts, have = [rest], len(rest)
+            while have < size:
+                parts.append(next(pieces))
+                have += len(parts[-1])
+            rest = np.concatenate(parts)
+            yield rest[:size]
+            rest = rest[size:]
+
+
+@lru_cache(2)
+def flips(seed: int) -> Flips:
+    return Flips(seed)
+
+
+_SIGNS = 1.0 - 2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+
+
+def flipped_sums(x: np.ndarray, seed: int, cells: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Sums of x under ``FLIPS`` rows of seeded signs, in blocks.
+
+    Row r begins at bit r * n, so rows r, r + 8, ... begin at the same bit of a
+    byte, n bytes apart.  For each of the eight, a table has the sum of what a
+    byte at each place stands for, and a row is a sum of look-ups.
+    """
+    n = len(x)
+    tables = []
+    for r in range(8):
+        padded = np.zeros(-(-(r * n % 8 + n) // 8) * 8)
+        padded[r * n % 8 : r * n % 8 + n] = x
+        tables.append((padded.reshape(-1, 8) @ _SIGNS.T).ravel())
+    turns = max(1, cells // n)  # of eight rows, which take n bytes
+    blocks = flips(seed).blocks(turns * n)
+    for first in range(0, FLIPS // 8, turns):
+        bits, many = np.append(next(blocks), np.uint8(0)), min(turns, FLIPS // 8 - first)
+        for r, table in enumerate(tables):
+            own = np.lib.stride_tricks.as_strided(bits[r * n // 8 :], (many, len(table) // 256), (n, 1))
+            yield table.take(own + np.arange(0, len(table), 256)).sum(1)
 
 
 def sign_flip(sample: list[float], seed: int) -> float:
@@ -74,7 +157,7 @@ def sign_flip(sample: list[float], seed: int) -> float:
     least = abs(x.sum()) - 1e-12
     if n <= EXACT:
         return float((np.abs(sign_patterns(n) @ x) >= least).mean())
-    hits = int((np.abs(seeded_signs(n, seed) @ x) >= least).sum())
+    hits = sum(int((np.abs(sums) >= least).sum()) for sums in flipped_sums(x, seed))
     return (hits + 1) / (FLIPS + 1)
 
 

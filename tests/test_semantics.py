@@ -2,8 +2,10 @@
 
 import math
 import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +336,33 @@ def test_statistics():
     assert stats.bca([0.0, 0.0, 0.0], 7) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("n", [2, 13, 16, 31, 100])
+def test_seeded_draws_are_those_of_random(n):
+    rng = random.Random(7)
+    want = [[rng.randrange(n) for _ in range(n)] for _ in range(stats.RESAMPLES)]
+    assert [row for block in stats.resamples(n, 7, 5000) for row in block.tolist()] == want
+    rng = random.Random(7)
+    signs = np.array([[1 if rng.random() < 0.5 else -1 for _ in range(n)] for _ in range(stats.FLIPS)])
+    x = np.arange(n) ** 2 - 5.0
+    assert sorted(np.concatenate(list(stats.flipped_sums(x, 7, 1000))).tolist()) == sorted((signs @ x).tolist())
+
+
+def test_flips_beyond_what_is_kept():
+    few, many = (stats.Flips(3, most, 1 << 16).blocks(1000) for most in (1, 100))
+    for _ in range(200):
+        assert (next(few) == next(many)).all()
+
+
+def test_statistics_of_a_large_group():
+    rng = random.Random(2)
+    sample = sorted(float(rng.randrange(-18, 23)) for _ in range(3000))
+    start = time.process_time()
+    low, high = stats.bca(sample, 7)
+    p = stats.sign_flip(sample, 7)
+    assert low < sum(sample) / 3000 < high and 0 < p < 0.05
+    assert time.process_time() - start < 8  # 20 million draws by a loop take longer
+
+
 def test_mtld_and_quartiles(spark):
     assert style.mtld_of(["a"] * 10) == 0.0
     assert style.mtld_of([f"w{i}" for i in range(30)]) == 30.0
