@@ -58,30 +58,53 @@ def prepared(docs: DataFrame, text_col: str = "text", separator: str = text.BLAN
     return rows.withColumn("_o", openers(F.col("_s")))
 
 
-def metrics(text_col: str = "text") -> Column:
-    """The 16 metrics over the prepared views, as one struct."""
-    p, s, w, o = F.size("_p"), F.size("_s"), F.col("_w"), F.col("_o")
+def views(t: Column, separator: str = text.BLANK_LINE) -> Column:
+    """The views of ``prepared`` as one struct; each is bound, so the optimizer can't copy one into every use."""
+
+    def of(p: Column, prose: Column, s: Column) -> Column:
+        edge = lambda at: F.when(F.size(p) > 0, bigrams(text.structure_content(F.element_at(p, at))))
+        return F.struct(
+            p.alias("_p"),
+            prose.alias("_prose"),
+            s.alias("_s"),
+            F.transform(s, lambda x: F.size(text.prose_words(x))).alias("_n"),
+            F.size(text.prose_words(prose)).alias("_w"),
+            edge(1).alias("_first"),
+            edge(-1).alias("_last"),
+            openers(s).alias("_o"),
+        )
+
+    def joined(p: Column) -> Column:
+        return numbers.let(F.array_join(p, "\n\n"), lambda prose: numbers.let(text.sentences(prose), lambda s: of(p, prose, s)))
+
+    return numbers.let(text.paragraphs(t, blank_blockquotes=True, separator=separator), joined)
+
+
+def metrics(text_col: str | Column = "text", view=F.col) -> Column:
+    """The 16 metrics over the prepared views, as one struct; ``view`` gives a view by its name."""
+    text_col = F.col(text_col) if isinstance(text_col, str) else text_col
+    p, s, w, o = F.size(view("_p")), F.size(view("_s")), view("_w"), view("_o")
     per = lambda n, of, times: F.when(of > 0, F.round(n / of * times, 3)).otherwise(0.0)
-    shared, either = F.size(F.array_intersect("_first", "_last")), F.size(F.array_union("_first", "_last"))
-    short = F.filter("_p", lambda x: (F.size(text.sentences(x)) == 1) & (F.size(text.prose_words(x)) < 12))
+    shared, either = F.size(F.array_intersect(view("_first"), view("_last"))), F.size(F.array_union(view("_first"), view("_last")))
+    short = F.filter(view("_p"), lambda x: (F.size(text.sentences(x)) == 1) & (F.size(text.prose_words(x)) < 12))
     enough = (s >= 5) & (F.size(o) > 0)
     return F.struct(
-        F.round(numbers.variation(F.col("_n")), 3).alias("sentence_burstiness"),
+        F.round(numbers.variation(view("_n")), 3).alias("sentence_burstiness"),
         F.when((p >= 2) & (either > 0), F.round(shared / either, 3)).otherwise(0.0).alias("summary_sandwich"),
-        F.round(numbers.variation(F.transform("_p", lambda x: F.size(text.prose_words(x)))), 3).alias("paragraph_cv"),
-        F.coalesce(F.round(numbers.mean(F.col("_n")), 1), F.lit(0.0)).alias("sentence_mean_len"),
-        per(text.count_of(F.col("_prose"), TRIAD), w, 1000).alias("triad_density"),
-        per(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("—"), F.lit(""))), w, 1000).alias("em_dash_per_1k"),
-        text.count_of(F.col(text_col), BOLD_LABEL).alias("bold_colon_listicle_count"),
+        F.round(numbers.variation(F.transform(view("_p"), lambda x: F.size(text.prose_words(x)))), 3).alias("paragraph_cv"),
+        F.coalesce(F.round(numbers.mean(view("_n")), 1), F.lit(0.0)).alias("sentence_mean_len"),
+        per(text.count_of(view("_prose"), TRIAD), w, 1000).alias("triad_density"),
+        per(F.length(text_col) - F.length(F.replace(text_col, F.lit("—"), F.lit(""))), w, 1000).alias("em_dash_per_1k"),
+        text.count_of(text_col, BOLD_LABEL).alias("bold_colon_listicle_count"),
         F.when(p > 0, F.round(F.size(short) / p, 3)).otherwise(0.0).alias("one_line_staccato_share"),
-        F.size(F.filter("_p", lambda x: x.rlike(CONNECTIVE_OPENER))).alias("connective_paragraph_openers"),
-        F.size(F.filter("_p", lambda x: x.rlike(EVERY_OPENER))).alias("every_template_openers"),
-        per(text.count_of(F.col("_prose"), SIGNPOST), w, 100).alias("signpost_density"),
+        F.size(F.filter(view("_p"), lambda x: x.rlike(CONNECTIVE_OPENER))).alias("connective_paragraph_openers"),
+        F.size(F.filter(view("_p"), lambda x: x.rlike(EVERY_OPENER))).alias("every_template_openers"),
+        per(text.count_of(view("_prose"), SIGNPOST), w, 100).alias("signpost_density"),
         F.when(enough, F.round(F.size(F.array_distinct(o)) / F.size(o), 3)).otherwise(0.0).alias("opener_unique_ratio"),
         F.when(enough, F.round(top_count(o) / F.size(o), 3)).otherwise(0.0).alias("top_opener_share"),
         F.when(enough, numbers.longest_run(o, lambda a, b: a == b) + 1).otherwise(0).alias("max_consecutive_opener"),
-        F.when(s > 0, F.round(F.size(F.filter("_s", lambda x: x.rlike(CLOSER))) / s, 3)).otherwise(0.0).alias("participial_closer_share"),
-        F.when(p >= 3, F.element_at("_p", -1).rlike(CODA) | (shared >= 2)).otherwise(F.lit(False)).alias("conclusion_coda"),
+        F.when(s > 0, F.round(F.size(F.filter(view("_s"), lambda x: x.rlike(CLOSER))) / s, 3)).otherwise(0.0).alias("participial_closer_share"),
+        F.when(p >= 3, F.element_at(view("_p"), -1).rlike(CODA) | (shared >= 2)).otherwise(F.lit(False)).alias("conclusion_coda"),
     )
 
 
@@ -118,17 +141,19 @@ def scan(docs: DataFrame, text_col: str = "text", genre: str = "prose", separato
     A text is declined only if nothing was flagged and it isn't English.
     Null texts give null.  Nothing is shuffled.
     """
-    rows = prepared(docs, text_col, separator)
-    p, s = F.size("_p"), F.size("_s")
 
-    def judged(m: Column) -> Column:
+    def judged(v: Column, m: Column) -> Column:
+        p, s = F.size(v["_p"]), F.size(v["_s"])
         fired = [
             F.when(fires, F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), F.lit(limit).alias("threshold"), F.lit("soft").alias("severity")))
-            for name, value, fires, limit in rules(m, p, s, F.col("_w"), F.col("_o"), genre)
+            for name, value, fires, limit in rules(m, p, s, v["_w"], v["_o"], genre)
         ]
         return F.struct(m.alias("metrics"), F.array_compact(F.array(*fired)).alias("flags"), F.lit(genre).alias("genre"), s.alias("prose_sentences"), p.alias("prose_paragraphs"))
 
+    def measured(t: Column) -> Column:
+        return numbers.let(views(t, separator), lambda v: numbers.let(metrics(t, v.__getitem__), lambda m: judged(v, m)))
+
     there = F.col(text_col).isNotNull()
-    rows = rows.select(*docs.columns, F.when(there, numbers.let(metrics(text_col), judged)).alias("structure"))
+    rows = docs.select(*docs.columns, F.when(there, numbers.let(F.col(text_col), measured)).alias("structure"))
     declined = (F.size(F.col("structure")["flags"]) == 0) & ~text.is_english(text.english_tokens(F.col(text_col)))
     return rows.withColumn("declined", F.when(there, declined))

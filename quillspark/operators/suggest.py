@@ -139,5 +139,4 @@ def accept_all(documents: DataFrame, text_col: str = "text", edits_col: str = "e
     """Add ``applied``, ``clean`` (for both scanners) and ``preserved`` to documents with an array of edits."""
     edits = F.filter(edits_col, lambda e: e["replacement"].isNotNull())
     rows = _scanned(documents.withColumn("applied", apply_all(F.col(text_col), edits)), "applied", rules)
-    rows = facts.validate(rows, text_col, "applied")
-    return rows.withColumn("preserved", F.col("preservation")["passed"]).drop("preservation")
+    return rows.withColumn("preserved", facts.preserved(F.col(text_col), F.col("applied")))

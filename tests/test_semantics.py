@@ -142,6 +142,22 @@ def test_structure_flags(spark):
     assert "bold_colon_listicle" in get("prose") and "bold_colon_listicle" not in get("docs")
 
 
+def test_views_of_a_text_are_worked_out_once(spark):
+    docs = spark.createDataFrame([("We go. We stop.", [(0, 2, "They")])], "text string, edits array<struct<start:int,end:int,replacement:string>>")
+    rows = suggest.accept_all(docs)
+    assert [(r["applied"], r["preserved"]) for r in rows.collect()] == [("They go. We stop.", True)]
+    plan = rows.groupBy("clean", "preserved").count()._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("```") <= 8  # the first pattern of the paragraph view
+
+
+def test_gates_of_facts_lose_none(monkeypatch):
+    texts = ["$, and $5", "12% of 3 km", "May ٣, ٢٠٢١", "q1  1999 at 10:30", "Jan. 3 2020", "v1.2 and 1–2", "and/or /a/b/c", "“a long quotation”", "no digit, Maria Chen", "`x` a@b.co https://x.y", "on 2021-03-04, 5,000 users"]
+    found = [facts.extract(t) for t in texts]
+    monkeypatch.setattr(facts, "NEEDS", {})
+    monkeypatch.setattr(facts, "WITHOUT_DIGITS", {k for k, _ in facts.PATTERNS})
+    assert all(found) and found == [facts.extract(t) for t in texts]
+
+
 def test_silhouette_minimums(spark):
     two = silhouette.scan(spark.createDataFrame([("One para.\n\nTwo para.",)], "text string")).first()["silhouette"]
     assert two["penalty"] is None and two["metrics"] is None and two["flags"] == []
