@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, langid, mixing, queries
 from quillspark.llm.common import shared_dir
@@ -30,8 +31,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the text decoded from them."""
-    return queries.bpe_digest(docs)
+    """Token counts, digests of the ids and of the text decoded from them, and ``position``, the document's place in the mix."""
+    rows = mixing.positioned(docs).select(F.struct("doc_id", "position").alias("doc_id"), "text")
+    return queries.bpe_digest(rows).select("doc_id.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "doc_id.position")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode_decode", encode_decode)]

@@ -153,3 +153,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     placed = mix(docs, **options)
     ordered = placed.withColumn("at", F.col("mix.position")).repartitionByRange("at").sortWithinPartitions("at")
     return ordered.select("row.*")
+
+
+def positioned(docs: DataFrame) -> DataFrame:
+    """Add ``position``, the place of each row (from 0) in the order in which the table was written.
+
+    Spark reads files in an order of its own, so what ``mixed_documents`` wrote
+    keeps its order only by the numbers of its files and the rows' places in
+    them.  Nothing is shuffled; the table of files has one row each.  A plan
+    that isn't a plain table of Parquet files is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = saved(docs)
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("position"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("n"))
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("long")
+    before = Window.partitionBy().orderBy(F.asc_nulls_last(number), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = saved(files.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), rows=0)
+    placed = rows.join(F.broadcast(files), "_file").withColumn("position", F.col("position") + F.col("_before"))
+    return placed.select(*docs.columns, "position")

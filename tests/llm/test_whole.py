@@ -43,6 +43,18 @@ def test_mixed_documents_keep_the_hot_source(spark):
     assert [r["doc_id"] for r in mixing.mixed_documents(docs).collect()] == [r["doc_id"] for r in rows]
 
 
+def test_the_order_of_the_mix_reaches_the_result(spark, sf, tmp_path):
+    docs = _sources(spark, [300] + [30] * 20).withColumn("text", F.concat(F.lit("text "), "doc_id"))
+    corpus_pipeline.mix_sources(spark, docs, sf).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r["doc_id"] for r in mixing.mix(docs).select("row.doc_id", "mix.position").orderBy("position").collect()]
+    rows = corpus_pipeline.encode_decode(spark, mixed, sf).orderBy("position").collect()
+    assert [(r["doc_id"], r["position"]) for r in rows] == list(zip(order, range(len(order)), strict=True))
+    other = mixed.orderBy(F.desc("doc_id")).repartitionByRange(7, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
+    rows = corpus_pipeline.encode_decode(spark, other, sf).orderBy("position").collect()
+    assert [r["doc_id"] for r in rows] == sorted(order, reverse=True)
+
+
 def _grams(text):
     w = text.split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
