@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_lookup, saved, small_batches
-from .components import connected_components
+from .components import ONE_TASK, connected_components
 from .simhash import keep_found, majority, named_rows, near_links
 
 BANDS, ROWS = 20, 4
 STARS = 3  # rounds that compare with one member of each bucket
+HOT = 256  # rows of one key that a task takes beside others with ease
 _rng = np.random.default_rng(23)
 _TIMES = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -81,14 +82,26 @@ def _listing(words: int):
     return run
 
 
+def _hot(table: DataFrame, total: int) -> bool:
+    return not table.where(F.col("uses") > max(total / 1000, HOT)).isEmpty()
+
+
+def _lookup(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """``hot_lookup`` by ``key`` and ``uses`` of a saved table; where no key is hot a plain join, which spares the driver two broadcasts."""
+    return hot_lookup(rows, table, "key", "uses", max(total, 1000 * HOT)) if _hot(table, total) else rows.join(table, "key")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose exact similarity reaches the threshold; ``sets``: fp, grams."""
-    pairs = saved(pairs)
+    pairs = listed = saved(pairs)
     m = pairs.count()
     for end in ("a", "b"):
-        uses = pairs.groupBy(end).agg(F.count("*").alias("uses"))
-        table = sets.select(F.col("fp").alias(end), F.col("grams").alias(f"{end}_grams")).join(uses, end)
-        pairs = hot_lookup(pairs, table, end, "uses", m).drop("uses")
+        uses = listed.groupBy(end).agg(F.count("*").alias("uses"))
+        table = sets.select(F.col("fp").alias(end), F.col("grams").alias(f"{end}_grams"))
+        if m <= HOT or not _hot(uses, m):
+            pairs = pairs.join(table, end)
+        else:
+            pairs = hot_lookup(pairs, table.join(uses, end), end, "uses", max(m, 1000 * HOT)).drop("uses")
     x, y = F.size("a_grams"), F.size("b_grams")
     pairs = pairs.where(F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -101,8 +114,8 @@ def _in_blocks(there: DataFrame, sets: DataFrame, threshold: float, block: int =
     A bucket is cut into chunks of about ``block`` sets, and each pair of
     chunks is one matrix product.
     """
-    sizes = there.groupBy("key").agg(F.count("*").alias("uses")).withColumn("chunks", F.ceil(F.col("uses") / block).cast("int"))
-    members = hot_lookup(there, sizes, "key", "uses", there.count()).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    sizes = saved(there.groupBy("key").agg(F.count("*").alias("uses")).withColumn("chunks", F.ceil(F.col("uses") / block).cast("int")))
+    members = _lookup(there, sizes, there.count()).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     members = members.select("key", "fp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     members = members.select("key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "fp")
     return members.join(sets, "fp").groupBy("key", "left", "right").applyInArrow(_comparing(threshold), "a long, b long").distinct()
@@ -150,9 +163,8 @@ def _by_simhash(rows: DataFrame, n: int) -> DataFrame:
     return linked.unionByName(same.where("a <> b")).distinct()
 
 
-def _labels(near: DataFrame, links: DataFrame) -> DataFrame:
-    m = links.count()
-    joined = saved(connected_components(links, rows=m), rows=2 * m).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+def _labels(near: DataFrame, links: DataFrame, m: int) -> DataFrame:
+    joined = connected_components(links, rows=m, one_task=ONE_TASK).select(F.col("node").alias("fp"), F.col("component").alias("label"))
     return saved(near.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
 
 
@@ -169,7 +181,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), rows=n)
     filed = saved(rows.select("fp", F.explode("bands").alias("key")).distinct())
     shared = filed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("uses")).where("low < high").select("key", "uses")
-    members = saved(hot_lookup(filed, saved(shared), "key", "uses", filed.count()).select("key", "fp"))
+    members = saved(_lookup(filed, saved(shared), filed.count()).select("key", "fp"))
     m = members.count()
     first = saved(_by_simhash(rows, n))
     near = saved(members.select("fp").union(first.select("a")).union(first.select("b")).distinct(), rows=n)
@@ -178,23 +190,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = source.join(ids, source["id"].eqNullSafe(ids["near_id"]), "left_semi")
     sets = saved(wanted.mapInArrow(_listing(words), "fp long, grams array<long>").join(near, "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
     links = saved(_similar(first, sets, threshold))
-    labels = _labels(near, links)
+    n_links = links.count()
+    labels, there = _labels(near, links, n_links), None
     for turn in range(STARS + 1):
-        labelled = members.join(labels, "fp")
-        still = labelled.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("uses")).where("first < last").select("key", "uses")
-        there = saved(hot_lookup(labelled, saved(still), "key", "uses", m).select("key", "fp", "label"))
-        if not there.limit(1).count():
-            break
+        if there is None:
+            labelled = members.join(labels, "fp")
+            still = labelled.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("uses")).where("first < last").select("key", "uses")
+            there = saved(_lookup(labelled, saved(still), m).select("key", "fp", "label"))
+            if there.isEmpty():
+                break
         if turn < STARS:
             # the smallest first, alike in all bands; then another one in each bucket
             order = F.col("fp") if turn == 0 else F.xxhash64(F.lit(turn), "key", "fp")
             hub = saved(there.groupBy("key").agg(F.min_by(F.struct("fp", "label"), order).alias("hub"), F.count("*").alias("uses")))
-            pairs = hot_lookup(there, hub, "key", "uses", m).where("label <> hub.label").select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"))
+            pairs = _lookup(there, hub, m).where("label <> hub.label").select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"))
             found = saved(_similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, threshold))
         else:
             found = saved(_in_blocks(there, sets, threshold))
-        links = links.unionByName(found)
-        labels = _labels(near, links)
+        n_found = found.count()
+        if n_found:  # else the labels and what is left of the buckets stay as they are
+            links, n_links = links.unionByName(found), n_links + n_found
+            labels, there = _labels(near, links, n_links), None
     return named_rows(rows.select("id", "fp"), prints, labels.select(F.col("fp").alias("node"), F.col("label").alias("component")), n)
 
 

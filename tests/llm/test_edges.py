@@ -52,6 +52,18 @@ def test_components_of_long_paths_and_hubs(spark):
     assert got == {n: c for n, c in want.items()}
 
 
+def test_components_in_one_task_are_those_of_rounds(spark):
+    rng = random.Random(8)
+    path = [rng.randrange(-(2**62), 2**62) for _ in range(150)]
+    edges = [*zip(path, path[1:], strict=False), *((2**62, i) for i in range(50)), (5, 6), (6, 5), (7, 7), (None, 8), (9, None), (-(2**63), 2**63 - 1)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    one = components.connected_components(links, rows=len(edges), one_task=len(edges))
+    rounds = components.connected_components(links, rows=len(edges))
+    assert one.dtypes == rounds.dtypes
+    assert sorted(one.collect()) == sorted(rounds.collect())
+    assert components.connected_components(links.limit(0), rows=0, one_task=1).collect() == []
+
+
 @pytest.mark.parametrize("shards", [1, 3, 40])
 def test_sharding(odd, shards):
     rows = sharding.shard_documents(odd, shards).collect()

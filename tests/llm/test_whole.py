@@ -80,6 +80,34 @@ def test_near_dedup_by_exact_similarity(spark, sf):
     assert kept == set(want.values()) and 40 <= len(kept) < 160
 
 
+def test_near_dedup_asks_little_of_the_driver(spark, sf):
+    """Each exchange costs the driver a thread and a plan, each broadcast a hash table; 64 and 45 of them took it over its memory."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    start, seen = store.executionsList().size(), Counter()
+    assert jaccard.near_copies(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for i in range(start, runs.size()):
+        nodes = store.planGraph(runs.apply(i).executionId()).allNodes()
+        seen.update(nodes.apply(j).name() for j in range(nodes.size()))
+    assert 0 < seen["Exchange"] < 50 and seen["BroadcastExchange"] < 36
+
+
+@pytest.mark.parametrize("hot", [3, 256])
+def test_near_dedup_with_and_without_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng, texts = np.random.default_rng(6), []
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    for i in range(60):
+        copy = list(base) if i % 2 else [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        copy[int(rng.integers(0, 120))] = f"own{i}"
+        texts.append(" ".join(copy))
+    sets = [_grams(t) for t in texts]
+    want = brute.components(set(range(60)), [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r["id"]: r["component"] for r in jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_unconnected_members_of_a_bucket_are_compared_in_blocks(spark):
     rng = np.random.default_rng(9)
     common, sets = rng.integers(0, 2**62, 300), []
